@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, prepare, slices
+from .common import as_bytes, column, prepare, released, slices
 from .tokens import encoder
 
 MAGIC = b"QSBITPL1"
@@ -179,7 +179,7 @@ def _write(path: str, vocabulary: str, end_id: int, bits: bool):
             store.move(temporary, f"{folder}/part-{shard:08d}.{SUFFIX}")
             yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([len(writer.docs)], pa.int64())], ["shard", "n_ids", "n_docs"])
 
-    return run
+    return released(run)
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, bits: bool = True) -> list[tuple[int, int]]:
@@ -209,7 +209,7 @@ def read_back(spark: SparkSession, path: str, files: list[tuple[int, int]]) -> D
         before += n
     shard = F.regexp_extract("path", rf"part-(\d+)\.{SUFFIX}$", 1).cast("long").alias("shard")
     content = spark.read.format("binaryFile").option("pathGlobFilter", f"part-*.{SUFFIX}").load(path).select(shard, "content")
-    rows = content.mapInArrow(_read, "shard long, doc_id long, local long, n_tokens long, ids_crc32 long")
+    rows = content.mapInArrow(released(_read), "shard long, doc_id long, local long, n_tokens long, ids_crc32 long")
     # one row for each file: far below what a driver holds
     starts = spark.createDataFrame(base, "shard long, before long")
     return rows.join(F.broadcast(starts), "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

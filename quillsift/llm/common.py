@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -78,15 +80,25 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def lines_of(batch: pa.RecordBatch, name: str) -> list:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
+def released(run):
+    """Wraps a batch function so that a worker gives its spare memory back after each task."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
+def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
     """Cuts a batch into runs of rows with about `most` bytes of text each (one row at least)."""
     sizes = _sizes(column(batch, text))
     at, total = 0, 0
@@ -103,3 +115,24 @@ def _sizes(array: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
     return pc.fill_null(pc.binary_length(array), 0).to_pylist()
+
+
+#: Bits of an id filter at most (16 MB); beyond it more ids pass, never fewer.
+MAX_FILTER_BITS = 1 << 27
+
+
+def id_filter(ids: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """A bitmap (bucket, bits) of hashed ids, 16 bits for each of `total` ids and MAX_FILTER_BITS at most."""
+    buckets = max(1, min(MAX_FILTER_BITS, 16 * total) // 32768)
+    place = F.pmod(F.xxhash64("id"), F.lit(buckets * 32768))
+    rows = ids.select(F.floor(place / 32768).alias("_bucket"), F.pmod(place, F.lit(32768)).alias("_place"))
+    return rows.groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits")), buckets
+
+
+def may_hold(rows: DataFrame, id_col: str, made: tuple[DataFrame, int]) -> DataFrame:
+    """The rows whose id the filter may hold; rows that it rules out go no further than their scan."""
+    bits, buckets = made
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets * 32768))
+    joined = rows.withColumn("_bucket", F.floor(place / 32768)).withColumn("_place", F.pmod(place, F.lit(32768))).join(F.broadcast(bits), "_bucket")
+    octet = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_place") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return joined.where(F.bit_get(octet, F.pmod("_place", F.lit(8)).cast("int")) == 1).select(*rows.columns)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, prepare, skew_safe_join, slices, without, written
+from .common import as_bytes, column, prepare, released, skew_safe_join, slices, without, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -44,7 +44,7 @@ def _hashes(min_chars: int):
                     keys += found
                 yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
-    return run
+    return released(run)
 
 
 def _rebuild(min_chars: int, names: list[str]):
@@ -64,7 +64,7 @@ def _rebuild(min_chars: int, names: list[str]):
                 out |= {"n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
                 yield pa.record_batch([out[n] for n in [*names, "n_lines", "n_dropped"]], [*names, "n_lines", "n_dropped"])
 
-    return run
+    return released(run)
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

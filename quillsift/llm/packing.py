@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, prepare, slices, written
+from .common import as_bytes, column, prepare, released, slices, written
 from .tokens import encoder
 
 SIZE = 2048
@@ -49,7 +49,7 @@ def _pieces(vocabulary: str, end_id: int, size: int):
                         rows.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
                 yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return released(run)
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -90,7 +90,7 @@ def _pack(size: int):
         if rows:
             yield from _packed(pa.Table.from_batches(held), size)
 
-    return run
+    return released(run)
 
 
 def _packed(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def pack(items: DataFrame, size: int = SIZE, slack: int = SLACK) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     # written rows are read in a fixed order, so a repeated task gives a bin the same number
-    return out.select(F.monotonically_increasing_id().alias("sequence_id"), "members").mapInArrow(_place, PLACED)
+    return out.select(F.monotonically_increasing_id().alias("sequence_id"), "members").mapInArrow(released(_place), PLACED)
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = SIZE) -> DataFrame:

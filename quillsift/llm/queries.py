@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitplane, exact_dedup, line_dedup, packing
+from . import bitplane, decontaminate, exact_dedup, line_dedup, minhash, packing
 from .common import new_folder
 from .tokens import vocabulary
 
@@ -13,6 +14,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(documents(spark, sf_dir), k=3, num=85, den=100)
+
+
+def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)")
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op5_bitplane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "ids")
     files = bitplane.write_ids(documents(spark, sf_dir), path, vocabulary(), end_id=2)
@@ -32,7 +46,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(documents(spark, sf_dir), vocabulary(), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op5_bitplane_output, op7_line_dedup, op8_exact_dedup, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_winnowing_decontamination, op5_bitplane_output, op7_line_dedup, op8_exact_dedup, op9_best_fit_packing)}
 
 ORACLES = {
     "op7_line_dedup": r"""
