@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, decontaminate, exact_dedup, line_dedup, minhash, packing
+from . import bitplane, decontaminate, exact_dedup, language_id, line_dedup, minhash, packing, quality, toxicity, warc_revisit
 from .common import new_folder
+from .learning import fold
 from .tokens import vocabulary
 
 
@@ -14,6 +15,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_revisit.records_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    done = warc_revisit.with_payload(warc_revisit.resolve_revisits(records), records, ["html"])
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return done.select("revisit_id", "canonical_url", F.unix_seconds("warc_date").alias("revisit_time"), F.coalesce("original_id", F.lit(-1)).alias("original_id"), "status", F.array_join(lines, "|").alias("headers"), F.sha2("html", 256).alias("payload_sha256"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, own = documents(spark, sf_dir), fold(F.col("doc_id"), 4)
+    done = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs, own != 2))
+    return done.select("doc_id", (own == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(documents(spark, sf_dir), k=3, num=85, den=100)
 
@@ -33,6 +47,13 @@ def op5_bitplane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_back(spark, path, files)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, own = documents(spark, sf_dir), fold(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), own != 0)
+    done = toxicity.score(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", (own == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.line_dedup(documents(spark, sf_dir))
     return done.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(coalesce(text, ''), 256) AS kept_sha256")
@@ -46,9 +67,47 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(documents(spark, sf_dir), vocabulary(), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_winnowing_decontamination, op5_bitplane_output, op7_line_dedup, op8_exact_dedup, op9_best_fit_packing)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, own = documents(spark, sf_dir), fold(F.col("doc_id"), 3)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), own != 1)
+    done = quality.score(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", (own == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisit, op2_language_id, op3_minhash_near_dedup, op4_winnowing_decontamination, op5_bitplane_output, op6_toxicity, op7_line_dedup, op8_exact_dedup, op9_best_fit_packing, op10_quality_classifier)}
 
 ORACLES = {
+    "op1_warc_revisit": r"""
+WITH c AS (
+  SELECT page_id, html, '"' || md5(coalesce(html, '')) || '"' AS etag, 'hour ' || (page_id // 24)::VARCHAR AS modified,
+         regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+  FROM pages),
+q AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), '^www\.', ''), ':(80|443)$', '')
+         || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+           lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)='))), '&') AS query
+  FROM c),
+k AS (SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS key FROM q),
+r AS (SELECT page_id AS original_id, key, page_id * 3600 AS ts, etag, modified, html, 'max-age=' || (page_id % 100)::VARCHAR AS cache FROM k),
+v AS (
+  SELECT page_id, key, CASE WHEN page_id % 11 = 0 THEN page_id * 3600 - 1800 ELSE page_id * 3600 + 129600 + (page_id % 97) * 86400 END AS ts,
+         CASE WHEN page_id % 13 = 0 OR page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 'W/"other"' ELSE 'W/' || etag END AS vtag,
+         CASE WHEN page_id % 13 <> 0 AND page_id % 5 = 0 THEN modified END AS vmod
+  FROM k),
+j AS (SELECT v.*, r.original_id, r.etag, r.modified, r.html FROM v ASOF LEFT JOIN r ON v.key = r.key AND v.ts > r.ts),
+s AS (
+  SELECT *, CASE WHEN original_id IS NULL THEN 'missing'
+                 WHEN vtag IS NOT NULL THEN CASE WHEN regexp_replace(vtag, '^W/', '') = etag THEN 'resolved' ELSE 'mismatch' END
+                 WHEN vmod IS NOT NULL THEN CASE WHEN vmod = modified THEN 'resolved' ELSE 'mismatch' END
+                 ELSE 'unverified' END AS status
+  FROM j)
+SELECT page_id AS revisit_id, key AS canonical_url, ts AS revisit_time, coalesce(original_id, -1) AS original_id, status,
+       CASE WHEN status IN ('resolved', 'unverified') THEN 'cache-control: max-age=0|content-type: text/html|date: ' || page_id::VARCHAR
+         || '|etag: ' || coalesce(vtag, etag) || '|last-modified: ' || modified END AS headers,
+       CASE WHEN status IN ('resolved', 'unverified') THEN sha256(html) END AS payload_sha256
+FROM s
+""",
     "op7_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
