@@ -55,6 +55,7 @@ def kind_of_text(text: Column) -> Column:
 
 def as_timestamp(number: Column) -> Column:
     """Epoch seconds, milliseconds, microseconds or nanoseconds, told apart by their size."""
+    number = number.cast("long")
     n = F.abs(number)
     micros = F.when(n < 10**11, number * 1_000_000).when(n < 10**14, number * 1000).when(n < 10**17, number).otherwise(F.floor(number / 1000))
     return F.timestamp_micros(micros.cast("long"))

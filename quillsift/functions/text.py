@@ -89,7 +89,7 @@ def markup_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]*>", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def spans(text: Column, term: str) -> Column:

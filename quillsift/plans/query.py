@@ -223,7 +223,7 @@ def parse(text: str, regex_mode: bool = False, now: dt.datetime | None = None) -
         if regex_mode or prefix:
             pattern = plain[len(prefix or "") :]
             try:
-                re.compile(pattern)
+                re.compile(re.sub(r"\(\?-?[a-zA-Z]+\)", "", pattern))  # switches that only Java has are its own to read
             except re.error as e:
                 raise QueryError(f"unreadable regular expression: {pattern}") from e
             way.terms.append(Term("regex", pattern, negated))

@@ -432,7 +432,7 @@ def markup_links(spark, sf_dir):
     r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(?:script|style|head)\b.*?</(?:script|style|head)>|<!--.*?-->', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<(?:br|p|div|li|tr|h[1-6]|article|section|table)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
 c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b)
-SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')) AS text FROM c""",
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text FROM c""",
 )
 def markup_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.markup_text(F.col("html")).alias("text"))

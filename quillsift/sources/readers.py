@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +17,26 @@ def listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFram
     return reader.load(path).select("path", F.unix_timestamp("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
-def decoded(content: Column, fallback: str = "GBK") -> Column:
-    """Text of bytes: by byte order mark, else UTF-8 where valid, else a legacy code page."""
+def legacy(content: Column, charset: str) -> Column:
+    """Text in a code page that Spark's decode doesn't know; batches go by Arrow."""
+
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else bytes(b).decode(charset, "replace"))
+
+    return decode(content)
+
+
+def decoded(content: Column, fallback: str = "gbk") -> Column:
+    """Text of bytes: by byte order mark, else UTF-8 where valid, else a legacy code page (only those rows go to Python)."""
     out = None
     for mark, charset, n in BOMS:
         hit = F.startswith(F.hex(F.substring(content, 1, 3)), F.lit(mark))
         text = F.decode(F.substring(content, n + 1, 2147483647), charset)
         out = F.when(hit, text) if out is None else out.when(hit, text)
-    return out.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, fallback))
+    marked = F.hex(F.substring(content, 1, 3)).rlike("^(EFBBBF|FFFE|FEFF)")
+    plain = F.is_valid_utf8(content.cast("string"))
+    return out.when(plain, content.cast("string")).otherwise(legacy(F.when(~marked & ~plain, content), fallback))
 
 
 def texts(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = 16 << 20) -> DataFrame:

@@ -22,18 +22,14 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def _apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One file's records in order: a reason counts once until close, rename halves are paired over batches."""
     seen, old = state.get if state.exists else ("", None)
-    if state.hasTimedOut:  # a rename that had no second half: the file has left
-        state.remove()
-        if old:
-            yield _frame([(key[0], "remove", None, None, old, 1 << 62)])
-        return
     done, out = set(filter(None, (seen or "").split(","))), []
     rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
     for r in rows.itertuples():
         if r.reason == "close":
             done.clear()
         elif r.reason == "rename_old":
-            old = r.name
+            old = r.name  # gone, unless a second half says where to
+            out.append((key[0], "remove", None, None, old, r.seq))
         elif r.reason == "rename_new":
             out.append((key[0], "rename" if old else "upsert", r.name, r.parent_id, old, r.seq))
             old = None
@@ -41,15 +37,13 @@ def _apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
             done.add(r.reason)
             out.append((key[0], "remove" if r.reason == "delete" else "upsert", r.name, r.parent_id, None, r.seq))
     state.update((",".join(sorted(done)), old))
-    if old:
-        state.setTimeoutDuration(60_000)
     if out:
         yield _frame(out)
 
 
 def changes(journal: DataFrame) -> DataFrame:
     """A journal stream to the changes that it means; state is a few words for each open file."""
-    return journal.groupBy("file_id").applyInPandasWithState(_apply, CHANGE, "seen string, old string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return journal.groupBy("file_id").applyInPandasWithState(_apply, CHANGE, "seen string, old string", "append", GroupStateTimeout.NoTimeout)
 
 
 def last_of_each(batch: DataFrame) -> DataFrame:
