@@ -17,8 +17,14 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 4096
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers of a local session import this package; clusters get it by --py-files."""
+    """Lets Python workers of a local session import this package (clusters get it by --py-files), and where the
+    number of rows in an Arrow batch is Spark's default, lowers it: whole texts can be long."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -145,3 +145,11 @@ def occurrences(rows: DataFrame, terms: list[str]) -> DataFrame:
 def fingerprint(text: Column) -> Column:
     """A text by its gram set, not its letters: copies with other blanks or order of lines share it where grams agree."""
     return F.sha2(F.array_join(F.array_sort(grams(text)), "\u0001"), 256)
+
+
+def files_with_all(pages: DataFrame, terms: list[str]) -> DataFrame:
+    """Files (file, text of a page) of which every term is on some page, with the pages that have any."""
+    found = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(t.lower())), F.lit(i)) for i, t in enumerate(terms)]))
+    hits = pages.select("file", found.alias("hits")).where(F.size("hits") > 0)
+    terms_of = hits.select("file", F.explode("hits").alias("t")).groupBy("file", "t").agg(F.count(F.lit(1)).alias("n"))
+    return terms_of.groupBy("file").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("hits")).where(F.col("terms") == len(terms)).select("file", "hits")

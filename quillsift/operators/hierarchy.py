@@ -61,6 +61,26 @@ def empty_folders(entries: DataFrame) -> DataFrame:
     return entries.where("is_dir").join(kids, F.col("id") == F.col("_p"), "left_anti")
 
 
+#: Largest files that are read for their text, by kind (bytes).
+READ_LIMITS = {"code": 2 << 20, "data": 4 << 20, "text": 16 << 20, "document": 100 << 20}
+READ_KINDS = {"code": ["c", "cpp", "java", "js", "py", "rs", "sql"], "data": ["csv", "json", "log", "xml"], "text": ["md", "txt"], "document": ["docx", "pdf", "pptx", "xlsx"]}
+
+
+def read_verdict(low_priority: Column) -> Column:
+    """Whether a file's text is read: read, low_priority, too_large, unknown_size or other_type."""
+    limit = None
+    for kind, names in READ_KINDS.items():
+        hit = F.col("ext").isin(names)
+        limit = F.when(hit, READ_LIMITS[kind]) if limit is None else limit.when(hit, READ_LIMITS[kind])
+    return F.when(limit.isNull(), "other_type").when(F.col("size").isNull(), "unknown_size").when(F.col("size") > limit, "too_large").when(low_priority, "low_priority").otherwise("read")
+
+
+def hidden(rules: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries that no rule hides; a rule (rule) is a folder's folded name, at any depth."""
+    gone = entries.select("id", F.explode(F.concat("folders", F.when(F.col("is_dir"), F.array("name_folded")).otherwise(F.array().cast("array<string>")))).alias("rule"))
+    return entries.join(gone.join(rules.select("rule").distinct(), "rule").select("id").distinct(), "id", "left_anti")
+
+
 def skip_reason(excluded_ext: list[str], hidden: list[int]) -> Column:
     """Why an entry is left out: at most one reason, counted apart."""
     return F.when(F.col("ext").isin(excluded_ext) & under(hidden), "both").when(F.col("ext").isin(excluded_ext), "type").when(under(hidden), "hidden").otherwise("shown")

@@ -339,6 +339,65 @@ def predicate(ways: list[Way], f: Fields, readings: dict | None = None, fallback
     return reduce(Column.__or__, [_way(w, f, readings or {}, fallback) for w in ways])
 
 
+#: Kinds of files by keyword: `pic: beach` or `:pic beach`.
+TYPES = {
+    "pic": ["bmp", "gif", "ico", "jpeg", "jpg", "png", "svg", "tif", "tiff", "webp"],
+    "doc": ["csv", "doc", "docx", "md", "pdf", "ppt", "pptx", "rtf", "txt", "xls", "xlsx"],
+    "video": ["avi", "flv", "mkv", "mov", "mp4", "webm", "wmv"],
+    "audio": ["aac", "flac", "m4a", "mp3", "ogg", "wav"],
+    "zip": ["7z", "bz2", "gz", "rar", "tar", "xz", "zip"],
+}
+
+
+def split_types(text: str) -> tuple[str, list[str] | str | None]:
+    """The text without its first type keyword, and that type's extensions (`folder` for folders), None if there is none.
+
+    Several types are joined by commas; a keyword of which a part is unknown is a word like others; one letter is a drive.
+    """
+    for m in re.finditer(r'(?:"[^"]*"?)|(\S+)', text):
+        word = T.fold(m[1] or "")
+        body = word[1:] if word.startswith(":") else word[:-1] if word.endswith(":") else ""
+        names = [x for x in body.split(",") if x]
+        if len(body) > 1 and names and all(x in TYPES or x == "folder" for x in names):
+            rest = f"{text[: m.start()]} {text[m.end() :]}".strip()
+            return rest, "folder" if names == ["folder"] else sorted({e for x in names for e in TYPES.get(x, [])})
+    return text, None
+
+
+def with_types(text: str, f: Fields, **options) -> Column:
+    """The predicate of a text that may name a type."""
+    rest, kinds = split_types(text)
+    hit = predicate(parse(rest, **options), f) if rest else F.lit(True)
+    if kinds is None:
+        return hit
+    return f.is_dir & hit if kinds == "folder" else ~f.is_dir & f.ext.isin(kinds) & hit
+
+
+def quick_filters(text: str, filters: dict[str, str]) -> tuple[str, list[str]]:
+    """The text without keywords of saved filters (`:name` or `name:`), and those filters' texts; unreadable ones go."""
+    kept, found = [], []
+    for token in text.split():
+        name = T.fold(token).strip(":")
+        if token.startswith(":") != token.endswith(":") and name in filters:
+            found.append(filters[name])
+        else:
+            kept.append(token)
+
+    def readable(x: str) -> bool:
+        try:
+            return bool(parse(x))
+        except QueryError:
+            return False
+
+    return " ".join(kept), [x for x in found if readable(x)]
+
+
+def with_filters(text: str, filters: dict[str, str], f: Fields, **options) -> Column:
+    """A text and the saved filters that it names, all of which must hold; filters never rank."""
+    rest, found = quick_filters(text, filters)
+    return reduce(Column.__and__, [predicate(parse(x, **options), f) for x in [rest, *found] if x], F.lit(True))
+
+
 def search(entries, text: str, regex_mode: bool = False, now: dt.datetime | None = None, readings: dict | None = None, fallback: bool = True):
     """The entries that a search text finds."""
     return entries.where(predicate(parse(text, regex_mode, now), fields(), readings, fallback))

@@ -479,6 +479,89 @@ def semantic_int8_error(spark, sf_dir):
     return rows.select("vec_id", (F.col("a") / F.sqrt(F.col("b") * F.col("c")) > 0.98).alias("close"))
 
 
+# ---- kinds, filters, verdicts --------------------------------------------------------------------------------------
+
+
+@register("type_keyword", f"{ENTRIES_SQL} SELECT id, name FROM entries WHERE NOT is_dir AND ext IN ('csv', 'doc', 'docx', 'md', 'pdf', 'ppt', 'pptx', 'rtf', 'txt', 'xls', 'xlsx') AND contains(name_folded, 'urgent')")
+def type_keyword(spark, sf_dir):
+    return from_orders(spark, sf_dir).where(Q.with_types("urgent doc:", Q.fields())).select("id", "name")
+
+
+@register("type_folder", f"{ENTRIES_SQL} SELECT id, name FROM entries WHERE is_dir AND contains(name_folded, 'nation')")
+def type_folder(spark, sf_dir):
+    return from_orders(spark, sf_dir).where(Q.with_types(":folder nation", Q.fields())).select("id", "name")
+
+
+@register("quick_filters", f"{ENTRIES_SQL} SELECT id, name FROM entries WHERE contains(name_folded, 'order 2') AND NOT contains(name_folded, 'low') AND NOT is_dir AND size >= {20 << 20}")
+def quick_filters(spark, sf_dir):
+    saved = {"calm": "!low", "big": "size:20mb", "broken": "re:["}
+    return from_orders(spark, sf_dir).where(Q.with_filters("order :calm big: broken:", {**saved}, Q.fields())).where(F.contains("name_folded", F.lit("order 2"))).select("id", "name")
+
+
+@register("hidden_folders", f"{ENTRIES_SQL} SELECT id FROM entries WHERE NOT list_has_any(CASE WHEN is_dir THEN list_append(folders, name_folded) ELSE folders END, ['asia', 'nation_3', 'customer#000000007'])")
+def hidden_folders(spark, sf_dir):
+    rules = spark.createDataFrame([("asia",), ("nation_3",), ("customer#000000007",)], "rule string")
+    return hierarchy.hidden(rules, from_orders(spark, sf_dir)).select("id")
+
+
+@register(
+    "read_verdicts",
+    f"""{ENTRIES_SQL}, v AS (SELECT CASE WHEN ext IS NULL THEN 'other_type' WHEN size IS NULL THEN 'unknown_size' WHEN size > CASE ext WHEN 'txt' THEN {16 << 20} ELSE {100 << 20} END THEN 'too_large' WHEN folders[1] = 'europe' THEN 'low_priority' ELSE 'read' END AS verdict FROM entries WHERE NOT is_dir)
+SELECT verdict, count(*) AS files FROM v GROUP BY verdict""",
+)
+def read_verdicts(spark, sf_dir):
+    files = from_orders(spark, sf_dir).where("NOT is_dir")
+    return files.withColumn("verdict", hierarchy.read_verdict(F.get("folders", 0) == "europe")).groupBy("verdict").agg(F.count(F.lit(1)).alias("files"))
+
+
+@register("work_files", r"SELECT p_partkey FROM part WHERE regexp_matches(md5(p_name) || '.' || p_type, '^[.~]|^[0-9a-f]{16}') AND p_size < 25")
+def work_files(spark, sf_dir):
+    name = F.concat(F.md5("p_name"), F.lit("."), F.col("p_type"))
+    return table(spark, sf_dir, "part").where(hierarchy.work_file(name, F.lower("p_type")) & (F.col("p_size") < 25)).select("p_partkey")
+
+
+@register(
+    "all_terms_over_pages",
+    "WITH h AS (SELECT conv_id AS file, contains(lower(text), 'there')::INT AS a, contains(lower(text), 'and')::INT AS b FROM conversations) SELECT file, (sum(a) + sum(b))::BIGINT AS hits FROM h GROUP BY file HAVING sum(a) > 0 AND sum(b) > 0",
+)
+def all_terms_over_pages(spark, sf_dir):
+    return content.files_with_all(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), "text"), ["there", "and"])
+
+
+@register(
+    "section_numbers",
+    "WITH l AS (SELECT conv_id AS doc, turn AS line, (turn = 0 OR role = 'user')::INT AS c FROM conversations) SELECT doc, line, (sum(c) OVER (PARTITION BY doc ORDER BY line ROWS UNBOUNDED PRECEDING))::BIGINT AS section FROM l",
+)
+def section_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("line"), "role")
+    return relate.sections(rows, (F.col("line") == 0) | (F.col("role") == "user")).select("doc", "line", "section")
+
+
+@register(
+    "content_relevance",
+    r"""WITH l AS (SELECT doc_id AS doc, n_chars, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+s AS (SELECT *, contains(lower(text), 'the')::INT + contains(lower(text), 'rights')::INT + contains(lower(text), 'for')::INT AS hits,
+  regexp_matches(lower(text), '(^|[^a-z0-9])the')::INT + regexp_matches(lower(text), '(^|[^a-z0-9])rights')::INT + regexp_matches(lower(text), '(^|[^a-z0-9])for')::INT AS starts FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY hits DESC, starts DESC, line) AS n FROM s WHERE hits > 0)
+SELECT doc, (CASE WHEN hits = 3 THEN 40 ELSE 15 * (hits - 1) // 2 END + 20 * starts // 3 + floor(least(doc % 3, 3) * 30 / 3)::INT + 15
+  + CASE WHEN doc % 400 < 7 THEN 12 WHEN doc % 400 < 30 THEN 8 WHEN doc % 400 < 365 THEN 4 ELSE 0 END + CASE WHEN length(text) > 1000 THEN -35 ELSE 0 END)::INT AS relevance FROM r WHERE n = 1""",
+)
+def content_relevance(spark, sf_dir):
+    best = content.best_lines(content.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), ["the", "rights", "for"])
+    return best.select("doc", content.relevance(best, 3, F.col("doc") % 3, F.lit(15), F.col("doc") % 400).alias("relevance"))
+
+
+@register("text_passages")
+def text_passages(spark, sf_dir):
+    return vectors.passages(table(spark, sf_dir, "documents"), "doc_id", "text").select("file", "passage", F.length("text").alias("chars"))
+
+
+@register("gram_fingerprints")
+def gram_fingerprints(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    return rows.groupBy(content.fingerprint(F.col("text")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("copies"))
+
+
 # ---- scalars, export, streams of changes as tables ---------------------------------------------------------------
 
 
