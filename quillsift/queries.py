@@ -582,7 +582,7 @@ def math_scalars(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(F.sqrt(price), 6).alias("root"), F.round(F.ln(price), 6).alias("ln"), F.round(F.sin(F.radians(size)), 6).alias("sine"), (size % 7).alias("rem"), F.round(F.pow(size, F.lit(1.5)), 6).alias("power"), F.greatest(size, F.lit(20)).alias("most"), F.floor(price / 7).alias("quotient"))
 
 
-@register("unit_convert", "SELECT p_partkey, round(p_size * 25.4, 6) AS mm, round(p_size * 0.45359237, 6) AS kg, round((p_size - 32) / 1.8, 6) AS celsius, round(p_retailprice / 1024, 6) AS kib FROM part")
+@register("unit_convert", "SELECT p_partkey, round(p_size::DOUBLE * 25.4, 6) AS mm, round(p_size::DOUBLE * 0.45359237, 6) AS kg, round((p_size - 32) / 1.8, 6) AS celsius, round(p_retailprice / 1024, 6) AS kib FROM part")
 def unit_convert(spark, sf_dir):
     c = lambda col, a, b: F.round(scalars.convert(F.col(col), a, b), 6)
     return table(spark, sf_dir, "part").select("p_partkey", c("p_size", "in", "mm").alias("mm"), c("p_size", "lb", "kg").alias("kg"), c("p_size", "f", "c").alias("celsius"), c("p_retailprice", "b", "kib").alias("kib"))
