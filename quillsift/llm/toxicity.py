@@ -96,7 +96,7 @@ class _Known(dict):
         self.terms = terms
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         found = tuple(self.terms[t] for t in terms_of(word.decode("utf-8", "replace")) if t in self.terms)
         if len(word) <= 64:
