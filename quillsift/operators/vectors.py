@@ -32,7 +32,7 @@ def best_per_file(passages: DataFrame, bonus: float = 0.01, most: int = 3) -> Da
     return rows.select("file", "passage", (F.col("best") + bonus * F.least(F.col("n") - 1, F.lit(most))).alias("score"))
 
 
-def _passages(target: int, most: int, limit: int):
+def _passages(target: int, most: int, limit: int | None):
     def cut(text: str) -> list[str]:
         out, now = [], ""
         for line in (text or "").split("\n"):
@@ -57,6 +57,8 @@ def _passages(target: int, most: int, limit: int):
     return run
 
 
-def passages(docs: DataFrame, key: str, text: str, target: int = 600, most: int = 1000, limit: int = 48) -> DataFrame:
-    """Texts in passages of about `target` characters, `most` at most; a blank line may close one."""
+def passages(docs: DataFrame, key: str, text: str, target: int = 600, most: int = 1000, limit: int | None = None) -> DataFrame:
+    """Whole texts in passages of about `target` characters, `most` at most; a blank line may close one.
+
+    Only an explicit `limit` keeps the first passages of a text alone (the reference sends 48 to its embedder)."""
     return docs.select(F.col(key).cast("long"), text).mapInArrow(_passages(target, most, limit), "file long, passage int, text string")

@@ -87,6 +87,14 @@ def test_passages_and_vectors(spark):
     assert [(r.file, r.passage, round(r.score, 6)) for r in best] == [(1, 1, 0.71), (2, 0, 0.6)]
 
 
+def test_passages_of_whole_texts(spark):
+    text = "\n\n".join(f"{i:03}" + "x" * 697 for i in range(60))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = vectors.passages(docs, "doc_id", "text").orderBy("passage").collect()
+    assert "\n\n".join(r.text for r in got) == text and [r.passage for r in got] == list(range(60))
+    assert vectors.passages(docs, "doc_id", "text", limit=48).count() == 48
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         scalars.convert(F.lit(100.0), "c", "f").alias("f"), scalars.convert(F.lit(1.0), "mi", "km").alias("km"), scalars.parse_rgb(F.lit("#f00")).alias("rgb"),
