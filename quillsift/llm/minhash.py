@@ -2,8 +2,9 @@
 
 Documents with the same set of word shingles are one class; only a class's smallest doc_id goes on. Its minima are cut
 into bands; in each bucket of a band every member is compared with the bucket's smallest id (a star, so that rows grow
-with a group's size, not its square): first by signature, then by the full sets. What a star leaves in different
-components of one bucket is compared in blocks of BLOCK documents inside tasks, which give out links alone.
+with a group's size, not its square): first by signature, then by the full sets. What the stars of all bands leave in
+different components of one bucket is compared in blocks of BLOCK documents inside tasks, which give out links alone;
+a bucket's smallest id has met the others in its star, and of buckets with the same members one is enough.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a null doc_id is linked with nothing
 and stays, with a null component; rows that share a doc_id are one document that has each of their texts; an empty
@@ -28,8 +29,8 @@ from .shingles import MinHash, shingle_set
 ROWS = 4
 #: Chance that no band of a pair at the threshold agrees, and that its signature is taken for one below it.
 MISS = 1e-6
-#: Documents of one bucket that a task compares with each other, and the bands that this is done for.
-BLOCK, BLOCK_BANDS = 512, 6
+#: Documents of one bucket that a task compares with each other.
+BLOCK = 512
 
 
 class Plan:
@@ -179,12 +180,13 @@ def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, plan: Plan) -> Da
     joined = skew_safe_join(pairs.join(text("b"), "b"), by_a, ["a"], "_n", n)
     found = written(joined.mapInArrow(_verify(plan), "u long, v long"), "links")
 
-    # what the stars have left apart in a bucket
+    # what the stars have left apart in a bucket of any band
     comp = components(found)
-    bands = F.slice("bands", 1, BLOCK_BANDS)
-    own = reps.select(F.col("doc_id").alias("id"), F.explode(bands).alias("key"))
+    own = buckets.where("id <> a").select("key", "id")
     own = own.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    same = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
+    apart = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), *same).where("lo < hi")
+    apart = apart.groupBy("n", "lo", "hi", "s0", "s1").agg(F.min("key").alias("key"))
     members = skew_safe_join(own, apart.select("key", "n"), ["key"], "n", total)
     members = written(members, "apart")
     ids = written(members.select("id").distinct(), "ids")

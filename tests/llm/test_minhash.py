@@ -5,7 +5,7 @@ import pytest
 
 from quillsift.llm import minhash
 from quillsift.llm.components import components
-from quillsift.llm.shingles import shingle_set
+from quillsift.llm.shingles import MinHash, shingle_set
 
 SCHEMA = "doc_id long, text string, kept int, component_id string"
 
@@ -85,3 +85,36 @@ def test_blocks_find_what_stars_leave():
     plan = minhash.Plan(3, 85, 100)
     assert minhash.block_links(np.array([5, 6, 7]), np.array([5, 6, 7]), sets, plan) == [(5, 6)]
     assert minhash.block_links(np.array([5, 6, 7]), np.array([5, 5, 7]), sets, plan) == []
+
+
+def test_pair_that_meets_in_late_bands_below_unlinked_smaller_ids(spark):
+    rng, plan = random.Random(1), minhash.Plan(5, 4, 5)
+    minima = MinHash(plan.size)
+
+    def edited(x, n):
+        x = list(x)
+        for at in rng.sample(range(10, 190, 6), n):
+            x[at] = f"e{rng.randrange(10**9)}"
+        return x
+
+    def of(x):
+        values = shingle_set(" ".join(x).encode(), 5)
+        return values, minima.bands(minima.signature(values), minhash.ROWS)
+
+    a = [f"w{i}" for i in range(200)]
+    b, agree = a, np.ones(plan.bands, bool)
+    while agree[:6].any() or not agree.any():
+        b = edited(a, 4)
+        agree = of(a)[1] == of(b)[1]
+    smaller, open_ = [], set(np.flatnonzero(agree).tolist())
+    while open_:  # an unlinked document for each bucket that the pair shares
+        c = edited(a, 7)
+        here = open_ & set(np.flatnonzero(of(c)[1] == of(a)[1]).tolist())
+        if here and not plan.linked(of(c)[0], of(a)[0]) and not plan.linked(of(c)[0], of(b)[0]):
+            smaller.append(c)
+            open_ -= here
+    pairs = list(enumerate(" ".join(x) for x in [*smaller, a, b]))
+    want = brute(pairs, 5, 4, 5)
+    assert want[-1][2] == len(smaller) and {r[2] for r in want[:-1]} == set(range(len(smaller) + 1))
+    got = minhash.near_dedup(rows(spark, pairs), 5, 4, 5).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
