@@ -7,10 +7,11 @@ span, with the words themselves compared. An item of fewer than 10 words is one
 that length, every one kept (winnowing with windows of one).
 
 The items go to the tasks in blocks of MAX_BLOCK_CHARS characters (one item at least), each over all documents, so that
-what is broadcast has a bound; texts never shuffle.
+what is broadcast has a bound; texts never shuffle. decontaminate() writes the rows that are left between two blocks.
 
 Defined results: a null text has no words; an item without words has no window; an item with a null item_id counts for
 hits and is not listed; items that share an item_id are one item; equal rows get equal results; empty tables work.
+decontaminate() decides by each row's own text: rows that share a doc_id, or have none, stay or go one by one.
 """
 
 from __future__ import annotations
@@ -122,18 +123,31 @@ def _hits(index, everything: bool):
     return released(run)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every row of docs: spans [start, end) of hit words, ids of items as strings."""
-    spark = docs.sparkSession
+def _clean(index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                good = [not index.value.spans(words_of(text))[0] for text in as_bytes(column(part, "text"))]
+                yield part.filter(pa.array(good, pa.bool_()))
+
+    return released(run)
+
+
+def _indexes(benchmark: DataFrame) -> Iterator:
+    """A broadcast index for each block of items: bounded."""
+    spark = benchmark.sparkSession
     prepare(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // MAX_BLOCK_CHARS))
-    found = []
     for b in range(blocks):
         some = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in some.collect()]))  # a block: bounded
-        found.append(docs.select("doc_id", "text").mapInArrow(_hits(index, b == 0), RESULT))
-    if blocks == 1:
+        yield spark.sparkContext.broadcast(Index([tuple(r) for r in some.collect()]))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, n_words, spans, items) of every row of docs: spans [start, end) of hit words, ids of items as strings."""
+    found = [docs.select("doc_id", "text").mapInArrow(_hits(index, b == 0), RESULT) for b, index in enumerate(_indexes(benchmark))]
+    if len(found) == 1:
         return found[0].drop("digest")
     first = written(found[0], "hits")
     more = found[1]
@@ -149,8 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a window of the benchmark; texts stay in their tasks."""
-    spark = docs.sparkSession
-    prepare(spark)
-    gone = contamination(docs, benchmark).where("size(spans) > 0").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of docs whose text holds no window of the benchmark; texts stay in their tasks."""
+    for n, index in enumerate(_indexes(benchmark)):
+        docs = (written(docs, "clean") if n else docs).mapInArrow(_clean(index), docs.schema)  # one block's index in a worker
+    return docs

@@ -61,3 +61,13 @@ def test_against_brute_force(spark, sf_dir, chars, monkeypatch):
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b")]) == []
     assert run(spark, [(1, "a b")], []) == [(1, 2, 0, [])]
+
+
+@pytest.mark.parametrize("chars", [8 << 20, 60])
+def test_rows_go_one_by_one(spark, chars, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_BLOCK_CHARS", chars)
+    texts = ["a nameless item of exactly ten words is this one", "another item that has as many words as that one"]
+    docs = [(None, f"x {texts[0]}"), (None, "clean"), (None, None), (1, f"{texts[1]} y"), (1, "also clean"), (2, "clean")]
+    d = spark.createDataFrame([(i, t, [n]) for n, (i, t) in enumerate(docs)], "doc_id long, text string, more array<long>")
+    left = decontaminate.decontaminate(d, spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))
+    assert left.columns == d.columns and sorted(r.more[0] for r in left.collect()) == [1, 2, 4, 5]
