@@ -471,6 +471,19 @@ def semantic_best_per_group(spark, sf_dir):
     return vectors.best_per_file(scored).withColumn("score", F.round("score", 6))
 
 
+@register(
+    "semantic_best_per_file",
+    """WITH s AS (SELECT label AS file, vec_id AS passage, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ((i * 37) % 11 - 5) / 10.0)), 6) AS score FROM embeddings),
+t AS (SELECT * FROM s ORDER BY score DESC, passage LIMIT 400), r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, passage) AS k, count(*) OVER (PARTITION BY file) AS n FROM t)
+SELECT file, passage, round(score + 0.01 * least(n - 1, 3), 6) AS score FROM r WHERE k = 1""",
+)
+def semantic_best_per_file(spark, sf_dir):
+    """The reference's 400 passages (kTopPassages)."""
+    q = F.array(*[F.lit(((i * 37) % 11 - 5) / 10.0) for i in range(1, 65)])
+    scored = table(spark, sf_dir, "embeddings").select(F.col("label").alias("file"), F.col("vec_id").alias("passage"), F.round(vectors.dot(F.col("embedding"), q), 6).alias("score"))
+    return vectors.best_per_file(scored.orderBy(F.desc("score"), "passage").limit(400)).withColumn("score", F.round("score", 6))
+
+
 @register("semantic_int8_error", "SELECT vec_id, TRUE AS close FROM embeddings")
 def semantic_int8_error(spark, sf_dir):
     q = vectors.quantised(F.col("embedding"))

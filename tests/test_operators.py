@@ -95,6 +95,15 @@ def test_passages_of_whole_texts(spark):
     assert vectors.passages(docs, "doc_id", "text", limit=48).count() == 48
 
 
+def test_best_per_file_over_400_passages(spark, tmp_path):
+    from quillsift import queries
+
+    rows = [(i, f"f{i // 100}", [(400 - i) / 1000.0 * (((k * 37) % 11 - 5) / 10.0) for k in range(1, 65)]) for i in range(500)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.QUERIES["semantic_best_per_file"](spark, str(tmp_path)).collect()
+    assert sorted((r.file, r.passage) for r in got) == [(f"f{i}", 100 * i) for i in range(4)]
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         scalars.convert(F.lit(100.0), "c", "f").alias("f"), scalars.convert(F.lit(1.0), "mi", "km").alias("km"), scalars.parse_rgb(F.lit("#f00")).alias("rgb"),
