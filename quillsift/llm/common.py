@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast: every caller proves the bound before it hints.
 MAX_HOT_KEYS = 4096
-
-
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -33,9 +32,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session that runs on one
+    machine (tests) gets a new local folder and a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillsift-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -56,10 +58,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(df: DataFrame, keys: list[str]) -> Column:
-    return F.struct(*[F.col(k) for k in keys])
-
-
 def skew_safe_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join of many rows with a table that has each key once and its number of rows in column `count`.
 
@@ -81,6 +79,20 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A name that df has no column of, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_key(*columns: str) -> list[Column]:
+    """Two 64-bit hashes of the columns: together they stand for their values, at a chance of 2^-128 a pair to be equal."""
+    names = [F.col(c) for c in columns]
+    return [F.xxhash64(*names), F.xxhash64(F.lit(11), *names)]
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()
@@ -123,22 +135,39 @@ def _sizes(array: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(array), 0).to_pylist()
 
 
-#: Bits of an id filter at most (16 MB); beyond it more ids pass, never fewer.
+#: Bits of a filter at most (16 MB); beyond it more rows pass, never fewer.
 MAX_FILTER_BITS = 1 << 27
 
 
-def id_filter(ids: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """A bitmap (bucket, bits) of hashed ids, 16 bits for each of `total` ids and MAX_FILTER_BITS at most."""
-    buckets = max(1, min(MAX_FILTER_BITS, 16 * total) // 32768)
-    place = F.pmod(F.xxhash64("id"), F.lit(buckets * 32768))
-    rows = ids.select(F.floor(place / 32768).alias("_bucket"), F.pmod(place, F.lit(32768)).alias("_place"))
-    return rows.groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits")), buckets
-
-
-def may_hold(rows: DataFrame, id_col: str, made: tuple[DataFrame, int]) -> DataFrame:
-    """The rows whose id the filter may hold; rows that it rules out go no further than their scan."""
-    bits, buckets = made
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets * 32768))
-    joined = rows.withColumn("_bucket", F.floor(place / 32768)).withColumn("_place", F.pmod(place, F.lit(32768))).join(F.broadcast(bits), "_bucket")
-    octet = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_place") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return joined.where(F.bit_get(octet, F.pmod("_place", F.lit(8)).cast("int")) == 1).select(*rows.columns)
+class Filter:
+    """A bitmap of 64-bit hashes, 16 bits for each of `total` and MAX_FILTER_BITS at most, as a table (_bucket, _bits)."""
+
+    def __init__(self, hashes: DataFrame, total: int):
+        """hashes have one column, h."""
+        self.buckets = max(1, min(MAX_FILTER_BITS, 16 * total) // 32768)
+        bucket, place = self._place(F.col("h"))
+        rows = hashes.select(bucket.alias("_bucket"), place.alias("_at"))
+        self.table = written(rows.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits")), "filter")
+
+    def _place(self, h: Column) -> tuple[Column, Column]:
+        place = F.pmod(h, F.lit(self.buckets * 32768))
+        return F.floor(place / 32768), F.pmod(place, F.lit(32768))
+
+    def split(self, rows: DataFrame, h: Column) -> tuple[DataFrame, DataFrame]:
+        """Rows that the filter rules out, and rows that it may hold. Both go no further than their scan; a null h is ruled out."""
+        b, bits, at = (spare(rows, n) for n in ("_bucket", "_bits", "_at"))
+        bucket, place = self._place(h)
+        table = self.table.withColumnsRenamed({"_bucket": b, "_bits": bits})
+        joined = rows.withColumns({b: bucket, at: place}).join(F.broadcast(table), b, "left")  # MAX_FILTER_BITS bounds it
+        octet = F.conv(F.hex(F.substring(F.col(bits), (F.floor(F.col(at) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        held = F.coalesce(F.bit_get(octet, F.pmod(F.col(at), F.lit(8)).cast("int")) == 1, F.lit(False))
+        return joined.where(~held).select(*rows.columns), joined.where(held).select(*rows.columns)
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (one column, each id once). Only rows that a filter of the ids may
+    hold are shuffled."""
+    gone = written(gone.toDF("gone"), "gone")
+    clear, maybe = Filter(gone.select(F.xxhash64("gone").alias("h")), gone.count()).split(docs, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")))
+    name = spare(docs, "_gone")
+    return clear.unionByName(maybe.join(gone.toDF(name), F.col("doc_id") == F.col(name), "left_anti"))

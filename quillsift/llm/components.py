@@ -1,29 +1,32 @@
-"""Connected components by alternating large-star and small-star rounds, each written to the shared folder."""
+"""Connected components by alternating large-star and small-star rounds, each written to the shared folder.
+
+The least neighbour of every node is a table with a row for each node, written before it is joined. The join then stands
+right above the two scans, so that Spark's adaptive skew join splits a node that has very many edges.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_safe_join, written
+from .common import written
 
 
 def _stamp(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Joins the larger neighbours of each node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return skew_safe_join(both, least, ["u"], "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Joins each node and its smaller neighbours to the least of them; edges point from u to a smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = skew_safe_join(edges, least, ["u"], "n", total)
-    rows = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    rows = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rows.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -33,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "edges")
     stamp = _stamp(edges)
     while stamp[0]:
-        edges = written(_small_star(_large_star(edges, stamp[0]), 2 * stamp[0]), "edges")
+        edges = written(_small_star(written(_large_star(edges), "edges")), "edges")
         last, stamp = stamp, _stamp(edges)
         if stamp == last:
             break

@@ -118,3 +118,45 @@ def test_pair_that_meets_in_late_bands_below_unlinked_smaller_ids(spark):
     assert want[-1][2] == len(smaller) and {r[2] for r in want[:-1]} == set(range(len(smaller) + 1))
     got = minhash.near_dedup(rows(spark, pairs), 5, 4, 5).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+@pytest.mark.parametrize("k,num,den", [(3, 85, 100), (5, 4, 5)])
+def test_no_pair_is_lost_in_families_of_alike_but_unlinked_documents(spark, k, num, den):
+    """A family is ten edits of one text, too far apart to be linked; the last two are a pair just above the threshold."""
+    rng, plan, pairs, want = random.Random(9), minhash.Plan(k, num, den), [], {}
+
+    def edited(x, n):
+        x = list(x)
+        for at in rng.sample(range(0, len(x), k + 1), n):
+            x[at] = f"e{rng.randrange(10**9)}"
+        return x
+
+    of = lambda x: shingle_set(" ".join(x).encode(), k)
+    few = max(n for n in range(1, 20) if plan.linked(of(range_words(200)), of(edited(range_words(200), n))))
+    for family in range(150):
+        base = [f"f{family}w{i}" for i in range(200)]
+        members = [edited(base, few) for _ in range(9)]
+        members.append(edited(members[-1], few))
+        for x in members:
+            pairs.append((len(pairs), " ".join(x)))
+        want[len(pairs) - 1] = len(pairs) - 2
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(rows(spark, pairs), k, num, den).collect()}
+    truth = {i: c for i, _, c in brute_in_families(pairs, k, num, den, 10)}
+    assert all(truth[b] == a for b, a in want.items()) and got == truth
+
+
+def range_words(n):
+    return [f"w{i}" for i in range(n)]
+
+
+def brute_in_families(pairs, k, num, den, size):
+    return [x for at in range(0, len(pairs), size) for x in brute(pairs[at : at + size], k, num, den)]
+
+
+def test_plans_split_hot_keys_and_leave_texts_where_they_are(spark, sf_dir):
+    """No shuffle of whole rows stands above the scan of the documents that stay."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = minhash.drop_near_duplicates(docs)
+    clear = out._jdf.queryExecution().executedPlan().toString().split("Union", 1)[1]
+    first = clear.split("FileScan parquet [doc_id", 1)[0]
+    assert "Exchange hashpartitioning(doc_id" not in first
