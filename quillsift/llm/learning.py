@@ -15,15 +15,17 @@ def fold(doc_id: Column, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, learn: Column) -> DataFrame:
     """(label, text) of at most about `most` documents of each label value, picked by a hash of doc_id.
 
-    labels are (doc_id, label); null labels and doc_ids are left out, of several labels of a document the largest
-    counts. Labels are narrow and are counted in full; only picked rows meet the texts.
+    labels are (doc_id, label); null labels and doc_ids are left out. Of several labels of a document the largest
+    counts, and of several labels of equal texts too, so that the sample does not depend on the order of rows. Labels
+    are narrow and are counted in full; only picked rows meet the texts. Other columns of docs and labels are not read.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("label"))
     counts = known.groupBy("label").count().withColumn("_share", F.lit(float(most)) / F.col("count"))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_003)) / 1_000_003
-    picked = known.join(counts, "label").where(place < F.col("_share")).select(F.col("doc_id").alias("_id"), "label")
+    picked = known.join(counts, "label").where(place < F.col("_share")).select("doc_id", "label")
     # at most about `most` rows of each label value
-    return docs.where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("label", "text", F.xxhash64("text").alias("_h")).dropDuplicates(["_h"]).select("label", "text")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("text").agg(F.max("label").alias("label")).select("label", "text")
 
 
 def platt(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -44,21 +45,60 @@ def test_toxicity(spark):
 
 def test_neighbours_are_exact():
     rng = np.random.default_rng(0)
-    rows, full = [], np.zeros((700, 40))
-    for i in range(700):
-        terms = np.sort(rng.choice(40, rng.integers(1, 9), replace=False))
-        weights = rng.random(len(terms)) ** 2 + 0.01
-        rows.append((terms, weights / np.linalg.norm(weights)))
-    index = toxicity.BlockMaxIndex(rows, 40, np.zeros(700, int))
-    for i, (t, w) in enumerate(index.rows):
-        full[i, t] = w
-    for q in range(0, 700, 7):
-        t, w = rows[q]
-        dense = np.zeros(40)
-        dense[t] = w
-        want = np.sort(full @ dense)[::-1][:10]
-        got = [s for s, _ in index.nearest(t, w, 10)]
-        assert np.allclose(got, want[want > 0][: len(got)]) and len(got) == min(10, (want > 0).sum())
+    for n_terms, n in ((40, 700), (3000, 500), (5, 3)):
+        rows, full = [], np.zeros((n, n_terms))
+        for i in range(n):
+            terms = np.unique((rng.random(rng.integers(1, 9)) ** 3 * n_terms).astype(int))
+            weights = rng.random(len(terms)) ** 2 + 0.01
+            rows.append((terms, weights / np.linalg.norm(weights)))
+            full[i, terms] = rows[-1][1]
+        index = toxicity.BlockMaxIndex(rows, n_terms)
+        got = index.nearest(rows, 10)
+        for i, near in enumerate(got):
+            want = np.sort(full @ full[i])[::-1][:10]
+            assert np.allclose([s for s, _ in near], want[want > 1e-300]) and all(abs(full[j] @ full[i] - s) < 1e-9 for s, j in near)
+        for i, near in enumerate(index.nearest(rows[2:], 10, 2)):
+            assert i + 2 not in {j for _, j in near} and len(near) == min(10, (full @ full[i + 2] > 0).sum() - 1)
+
+
+def test_toxicity_equals_a_plain_dense_version(spark):
+    """Whole scores against cosines of full matrices, with nothing left out."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    known = {}
+    for r in docs.join(labels, "doc_id").where("text is not null and toxic is not null").select("text", "toxic").collect():
+        known[r.text] = max(r.toxic, known.get(r.text, 0))
+    names = sorted({w for t in known for w in words(t)})
+
+    def tf(texts):
+        out = np.zeros((len(texts), len(names)))
+        for i, t in enumerate(texts):
+            for w, c in Counter(words(t)).items():
+                if w in place:
+                    out[i, place[w]] = c
+        return out
+
+    place = {w: i for i, w in enumerate(names)}
+    x, y = tf(known), np.array(list(known.values()))
+    df, n1 = (x > 0).sum(axis=0), y.sum()
+    p1, p0, p = (x[y == 1] > 0).mean(axis=0), (x[y == 0] > 0).mean(axis=0), df / len(y)
+    z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / (len(y) - n1)))
+    weight = (np.log((1 + len(y)) / (1 + df)) + 1) * np.maximum(z, 1)
+    unit = lambda m: (v := np.where(m > 0, 1 + np.log(np.maximum(m, 1)), 0) * weight) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    share = labels.where("toxic is not null").groupBy().avg("toxic").first()[0]
+    texts = [r.text for r in docs.limit(80).collect()] + [None, "", "nothing known here zzz"]
+    cos = unit(tf(texts)) @ unit(x).T
+    for row, (score, near, _) in zip(cos, model.score([t and t.encode() for t in texts])):
+        want = np.sort(row[row > 0])[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose([s for s, _ in near], want)
+        if len(want) < toxicity.NEIGHBOURS or (np.abs(row - want[-1]) < 1e-9).sum() == 1:  # no tie at the last place
+            at = np.argsort(-row, kind="stable")[: len(want)]
+            vote = (row[at] @ y[at] + toxicity.PRIOR * share) / (row[at].sum() + toxicity.PRIOR)
+            assert abs(score - 1 / (1 + np.exp(-(model.slope * vote + model.offset)))) < 1e-9
 
 
 def test_language(spark):
