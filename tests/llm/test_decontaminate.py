@@ -42,9 +42,9 @@ def run(spark, docs, items):
     return sorted(got, key=lambda r: (r[0] is not None, r[0] or 0))
 
 
-@pytest.mark.parametrize("chars", [8 << 20, 3000])
-def test_against_brute_force(spark, sf_dir, chars, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_BLOCK_CHARS", chars)  # the small one: several blocks
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 16])
+def test_against_brute_force(spark, sf_dir, bits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_BITS", bits)  # the small one: the bitmap is nearly full
     rng = random.Random(3)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
@@ -63,9 +63,7 @@ def test_empty_tables(spark):
     assert run(spark, [(1, "a b")], []) == [(1, 2, 0, [])]
 
 
-@pytest.mark.parametrize("chars", [8 << 20, 60])
-def test_rows_go_one_by_one(spark, chars, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_BLOCK_CHARS", chars)
+def test_rows_go_one_by_one(spark):
     texts = ["a nameless item of exactly ten words is this one", "another item that has as many words as that one"]
     docs = [(None, f"x {texts[0]}"), (None, "clean"), (None, None), (1, f"{texts[1]} y"), (1, "also clean"), (2, "clean")]
     d = spark.createDataFrame([(i, t, [n]) for n, (i, t) in enumerate(docs)], "doc_id long, text string, more array<long>")
