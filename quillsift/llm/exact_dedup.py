@@ -4,23 +4,28 @@ First pass: every row sets a few cells of one 32,768-bit bucket of a Bloom filte
 set are kept as bitmaps. Second pass: a row whose cells are all kept is possibly a repeat. Only those rows shuffle, to
 be grouped by the SHA-256 of their normalised text; the others are unique and pass straight through.
 
+The passes work on narrow rows (id and digest), written in ranges of the digest of at most RANGE_ROWS rows, about; each
+range has a filter of its own, so that what is broadcast at a time has a bound (16 bits a row) at every size of table.
+
 Defined results: a null text counts as empty; a null doc_id is larger than any other; of rows that share the smallest
 doc_id and the text, one stays; an empty table gives an empty result; columns that clash with added ones are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, skew_safe_join, without, written
+from .common import Filter, new_folder, prepare, spare, without, written
 
 BUCKET_BITS = 32768
 #: Cells of the filter for each row and cells that each row sets: about 0.5 % of unique rows pass the second pass.
 BITS_PER_ROW = 16
 CELLS = 3
-#: The filter is broadcast up to this size (8 million rows), else joined on its bucket.
-MAX_BROADCAST_BYTES = 16 << 20
+#: Rows of one range: its filter has 64 MB.
+RANGE_ROWS = 32 << 20
 
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -29,78 +34,99 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def sha(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sha): the narrow rows that the two passes work on."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"))
+    return docs.select(F.col(id_col).alias("doc_id"), sha(F.col(text_col)).alias("sha"))
+
+
+def _number(sha: Column, at: int, n: int) -> Column:
+    """n bytes of a digest as a number."""
+    return F.conv(F.hex(F.substring(sha, at, n)), 16, 10).cast("long")
 
 
 def _cells(sha: Column, buckets: int) -> tuple[Column, list[Column]]:
     """The bucket of a digest and its bit places there, from disjoint parts of the digest."""
-    part = lambda at, n: F.conv(F.hex(F.substring(sha, at, n)), 16, 10).cast("long")
-    return F.pmod(part(1, 7), F.lit(buckets)), [F.pmod(part(8 + 2 * i, 2), F.lit(BUCKET_BITS)) for i in range(CELLS)]
+    return F.pmod(_number(sha, 1, 7), F.lit(buckets)), [F.pmod(_number(sha, 8 + 2 * i, 2), F.lit(BUCKET_BITS)) for i in range(CELLS)]
 
 
 def bloom_filter(rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, bits): the cells that at least two rows have set, a bitmap of 4 KB for each bucket."""
     bucket, places = _cells(F.col("sha"), buckets)
-    # equal digests are counted before they leave a task, so a text that a third of all rows have is a few rows here
+    # cells, not rows, are counted, and first in their own task: a text that a third of all rows have is a few cells here
     cells = rows.select(bucket.alias("bucket"), F.explode(F.array_distinct(F.array(*places))).alias("place"))
     twice = cells.groupBy("bucket", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return twice.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
 
 
 def possibly_repeated(rows: DataFrame, buckets: int, bits: DataFrame) -> DataFrame:
-    """The rows with boolean _maybe: whether the filter has all of their cells."""
+    """The rows with boolean _maybe: whether the filter (RANGE_ROWS bounds it) has all of their cells."""
     bucket, places = _cells(F.col("sha"), buckets)
 
     def held(place: Column) -> Column:
         octet = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         return F.bit_get(octet, F.pmod(place, F.lit(8)).cast("int")) == 1
 
-    small = buckets * BUCKET_BITS // 8 <= MAX_BROADCAST_BYTES
-    joined = rows.withColumn("bucket", bucket).join(F.broadcast(bits) if small else bits, "bucket", "left")
-    maybe = F.col("bits").isNotNull()
-    for place in places:
-        maybe = maybe & held(place)
+    joined = rows.withColumn("bucket", bucket).join(F.broadcast(bits), "bucket", "left")
+    maybe = reduce(Column.__and__, map(held, places), F.col("bits").isNotNull())
     return joined.select(*rows.columns, F.coalesce(maybe, F.lit(False)).alias("_maybe"))
 
 
-def mark(rows: DataFrame) -> DataFrame:
-    """(doc_id, sha) to (doc_id, sha, keep_id, group_size, kept), a row for each row."""
-    total = rows.count()
-    buckets = max(1, -(-total * BITS_PER_ROW // BUCKET_BITS))
-    flagged = possibly_repeated(rows, buckets, bloom_filter(rows, buckets))
-    once = flagged.where(~F.col("_maybe")).select(
-        "doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
-    )
-    maybe = written(flagged.where("_maybe").select("doc_id", "sha"), "maybe")
-    groups = maybe.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    same = Window.partitionBy("sha", "doc_id").orderBy(F.lit(1))
-    ranked = maybe.withColumn("_copy", F.row_number().over(same))
-    more = skew_safe_join(ranked, groups, ["sha"], "group_size", total).select(
-        "doc_id", "sha", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept")
-    )
-    return once.unionByName(more)
+def mark(rows: DataFrame, total: int) -> DataFrame:
+    """(doc_id, sha) of `total` rows to (doc_id, sha, keep_id, group_size, kept), a row for each row."""
+    ranges = max(1, -(-total // RANGE_ROWS))
+    path, spark = new_folder(rows.sparkSession, "digests"), rows.sparkSession
+    # written by each task for itself: nothing shuffles
+    rows.withColumn("part", F.pmod(_number(F.col("sha"), 17, 6), F.lit(ranges))).write.partitionBy("part").parquet(path)
+    out = []
+    for part in range(ranges):
+        own = spark.read.schema(rows.schema).parquet(f"{path}/part={part}") if total else rows
+        buckets = max(1, -(-total * BITS_PER_ROW // (BUCKET_BITS * ranges)))
+        flagged = possibly_repeated(own, buckets, bloom_filter(own, buckets))
+        once = flagged.where(~F.col("_maybe")).select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+        maybe = written(flagged.where("_maybe").select("doc_id", "sha"), "maybe")
+        groups = maybe.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        # a join of two scans: the adaptive skew join splits a text that very many rows have
+        more = maybe.join(written(groups, "groups"), "sha").withColumn("_least", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        first = more.where("_least").groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        out += [once, _one_of_equals(more, first)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _one_of_equals(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """kept: a text's smallest doc_id; where several rows (`shared`) have both, the first of them as written."""
+    columns = ["doc_id", "sha", "keep_id", "group_size"]
+    if shared.isEmpty():
+        return rows.select(*columns, F.col("_least").alias("kept"))
+    at = F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
+    rows = written(rows, "least").withColumn("_at", at)
+    first = written(rows.where("_least").groupBy("sha").agg(F.min("_at").alias("_first")), "first")
+    return rows.join(first, "sha").select(*columns, (F.col("_least") & (F.col("_at") == F.col("_first"))).alias("kept"))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     prepare(docs.sparkSession)
-    marked = mark(written(digests(docs, id_col, text_col), "digests"))
+    marked = mark(digests(docs, id_col, text_col), docs.count())
     return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without repeats, with all their columns: rows that the filter rules out never shuffle."""
+    """docs without repeats, with all their columns. Rows of texts that occur once are told by a filter of the repeated
+    ones' digests (16 MB at most; beyond it more rows pass) and never shuffle."""
     prepare(docs.sparkSession)
-    rows = written(digests(docs, id_col, text_col), "digests")
-    buckets = max(1, -(-rows.count() * BITS_PER_ROW // BUCKET_BITS))
-    bits = written(bloom_filter(rows, buckets), "bloom")
-    own = ["sha", "bucket", "bits", "_maybe", "_copy", "_id", "_sha"]
-    tagged = without(docs, own).withColumn("sha", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    flagged = possibly_repeated(tagged, buckets, bits)
-    kept = mark(rows).where("kept").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
-    same = Window.partitionBy("sha", id_col).orderBy(F.lit(1))
-    maybe = flagged.where("_maybe").withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
-    stay = maybe.join(kept, (F.col("sha") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return flagged.where(~F.col("_maybe")).unionByName(stay).drop("sha", "_maybe")
+    marked = mark(digests(docs, id_col, text_col), docs.count())
+    stay = written(marked.where("group_size > 1 AND kept").select("doc_id", "sha"), "stay")
+    hashed = F.xxhash64(sha(F.col(text_col)))
+    clear, maybe = Filter(stay.select(F.xxhash64("sha").alias("h")), stay.count()).split(docs, hashed)
+    key, copy, own, twin = (spare(docs, n) for n in ("_sha", "_copy", "_stay_id", "_stay_sha"))
+    maybe = written(maybe.withColumn(key, sha(F.col(text_col))), "possibly-repeated")
+    joined = maybe.join(stay.toDF(own, twin), F.col(key) == F.col(twin), "left")
+    alone = joined.where(F.col(twin).isNull())
+    # of a text's rows with the id that stays, one; there are no more of them than that id has rows
+    same = Window.partitionBy(key).orderBy(F.lit(1))
+    first = joined.where(F.col(id_col).eqNullSafe(F.col(own)) & F.col(twin).isNotNull()).withColumn(copy, F.row_number().over(same)).where(F.col(copy) == 1)
+    return clear.unionByName(alone.select(*docs.columns)).unionByName(first.select(*docs.columns))

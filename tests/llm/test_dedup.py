@@ -30,6 +30,16 @@ def test_exact(spark):
     assert exact_dedup.decisions(rows(spark, [])).count() == 0 and exact_dedup.exact_dedup(rows(spark, [])).count() == 0
 
 
+def test_exact_in_ranges(spark, monkeypatch):
+    """With small ranges, the same rows, and only narrow rows that may be repeats above the scan of the texts."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', if(id % 3 = 0, 7, id), if(id > 2900, ' tail', '')) AS text")
+    want = {tuple(r) for r in exact_dedup.decisions(docs).collect()}
+    monkeypatch.setattr(exact_dedup, "RANGE_ROWS", 700)
+    got = exact_dedup.decisions(docs)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 3000
+    assert sorted(r.doc_id for r in exact_dedup.exact_dedup(docs).collect()) == sorted(r[0] for r in want if r[3])
+
+
 def test_one_smallest_of_equal_ids(spark):
     got = exact_dedup.decisions(rows(spark, [(9, "a")] * 3 + [(10, "a")])).collect()
     assert [r.kept for r in got].count(True) == 1 and {r.group_size for r in got} == {4}
