@@ -9,11 +9,15 @@ index close the file:
             blocks x [offset u64, ids u32], blocks x planes x [length u32],
             doc_id i64 each, known u8 each, ids of each document u32
 
-Documents are dealt by ranges of doc_id, so file k comes before file k + 1. Tasks write under a temporary name and then
-rename, and a repeated task writes the same file again.
+Documents are dealt by ranges of doc_id (and of a hash of the text, so that rows without an id are dealt too). A task
+closes a file at FILE_IDS ids or FILE_DOCS documents and goes on with the next, so files and what a writer holds have a
+bound; only one document may go beyond it. Every attempt of a task writes names of its own and gives out a row for each
+file; the rows of the attempt that counts are the list of files (one for 64 MB of ids), and no file is ever renamed or
+written over. Readers take one file at a time, its chunk index first and then one block after the other.
 
 Defined results: a null text is empty (the end id alone); null doc_ids come first; rows with the same doc_id are
-documents of their own; an empty table makes no file and gives an empty result.
+documents of their own, in the order of a hash of their text; an empty table makes no file and gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from .tokens import encoder
 MAGIC = b"QSBITPL1"
 BLOCK = 16384
 SUFFIX = "qsbp"
+#: Ids (64 MB of them) and documents that close a file.
+FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -79,12 +85,13 @@ class Writer:
         self.out, self.bits, self.at = out, bits, len(MAGIC)
         self.zip = zstandard.ZstdCompressor(level=level)
         self.buffer, self.held = [], 0
-        self.index, self.lengths, self.docs, self.counts = [], [], [], []
+        self.index, self.lengths, self.docs, self.counts, self.total = [], [], [], [], 0
         out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append(doc_id)
         self.counts.append(len(ids) // 4)
+        self.total += len(ids) // 4
         self.buffer.append(ids)
         self.held += len(ids)
         if self.held >= 4 * BLOCK:
@@ -112,19 +119,22 @@ class Writer:
         footer += np.array([d or 0 for d in self.docs], "<i8").tobytes() + known.tobytes() + np.array(self.counts, "<u4").tobytes()
         packed = self.zip.compress(footer)
         self.out.write(packed + struct.pack("<I", len(packed)) + MAGIC)
-        return sum(self.counts)
+        return self.total
 
 
 class Reader:
-    """Reads one file from its bytes: any block alone by the chunk index, or document by document."""
-
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        if data[:8] != MAGIC or data[-8:] != MAGIC:
+    """Reads one file: any block alone by the chunk index, or document by document. Holds the indexes and a block."""
+
+    def __init__(self, file):
+        """file can be read and sought (pyarrow's input files and buffers can)."""
+        self.file = file
+        end = file.seek(0, 2)
+        head, tail = self._at(0, 8), self._at(max(0, end - 12), 12)
+        if head != MAGIC or tail[-8:] != MAGIC:
             raise ValueError("not a bit-plane file")
-        (n,) = struct.unpack("<I", data[-12:-8])
+        (n,) = struct.unpack("<I", tail[:4])
         self.unzip = zstandard.ZstdDecompressor()
-        footer = self.unzip.decompress(data[-12 - n : -12])
+        footer = self.unzip.decompress(self._at(end - 12 - n, n))
         kind, docs, blocks = struct.unpack_from("<BQI", footer)
         self.bits, planes, at = kind == 1, 32 if kind == 1 else 4, 13
         self.blocks = [struct.unpack_from("<QI", footer, at + 12 * i) for i in range(blocks)]
@@ -136,11 +146,16 @@ class Reader:
         self.docs = [i if k else None for i, k in zip(ids, known)]
         self.counts = np.frombuffer(footer, "<u4", docs, at + 9 * docs).tolist()
 
+    def _at(self, place: int, n: int) -> bytes:
+        self.file.seek(place)
+        return self.file.read(n)
+
     def block(self, k: int) -> np.ndarray:
-        at, n = self.blocks[k]
-        planes = []
-        for size in self.lengths[k].tolist():
-            planes.append(self.unzip.decompress(self.data[at : at + size]) if size else b"")
+        place, n = self.blocks[k]
+        sizes = self.lengths[k].tolist()
+        data, planes, at = memoryview(self._at(place, sum(sizes))), [], 0
+        for size in sizes:
+            planes.append(self.unzip.decompress(data[at : at + size]) if size else b"")
             at += size
         return from_planes(planes, n, self.bits)
 
@@ -158,58 +173,77 @@ class Reader:
             held, start = data[n:], start + n
 
 
-def _write(path: str, vocabulary: str, end_id: int, bits: bool):
+def _write(path: str, vocabulary: str, end_id: int, bits: bool, most: int):
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(vocabulary).encode, TaskContext.get().partitionId()
+        encode, shard, attempt = encoder(vocabulary).encode, TaskContext.get().partitionId(), uuid.uuid4().hex
         store, folder = fs.FileSystem.from_uri(path)
-        temporary, writer, out = f"{folder}/_{shard}-{uuid.uuid4().hex}", None, None
+        writer, out, name, made = None, None, "", 0
+
+        def closed() -> pa.RecordBatch:
+            n = writer.close()
+            out.close()
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+            return pa.record_batch([pa.array([x], t) for x, t in zip((shard, made, name, n), kinds)], ["shard", "file", "name", "n_ids"])
+
         for batch in batches:
             for part in slices(batch, "text"):
                 for doc_id, text in zip(column(part, "doc_id").to_pylist(), as_bytes(column(part, "text"))):
                     if writer is None:
-                        store.create_dir(folder, recursive=True)
-                        out = store.open_output_stream(temporary)
+                        name = f"part-{shard:06d}-{made:06d}-{attempt}.{SUFFIX}"
+                        out = store.open_output_stream(f"{folder}/{name}")
                         writer = Writer(out, bits)
                     writer.add(doc_id, encode(text) + end)
+                    if writer.total >= most or len(writer.docs) >= FILE_DOCS:
+                        yield closed()
+                        writer, made = None, made + 1
         if writer is not None:
-            n = writer.close()
-            out.close()
-            store.move(temporary, f"{folder}/part-{shard:08d}.{SUFFIX}")
-            yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([len(writer.docs)], pa.int64())], ["shard", "n_ids", "n_docs"])
+            yield closed()
 
     return released(run)
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, bits: bool = True) -> list[tuple[int, int]]:
-    """Encodes docs (doc_id, text) into files under path; gives (file number, ids) of each file, one entry a file."""
+def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, bits: bool = True, file_ids: int = FILE_IDS) -> list[tuple[str, int]]:
+    """Encodes docs (doc_id, text) into files under path; gives (name, ids) of each file in order."""
     prepare(docs.sparkSession)
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    made = ordered.mapInArrow(_write(path, vocabulary, end_id, bits), "shard long, n_ids long, n_docs long")
-    return sorted((r.shard, r.n_ids) for r in made.collect())
+    store, folder = fs.FileSystem.from_uri(path)
+    store.create_dir(folder, recursive=True)
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    made = ordered.mapInArrow(_write(path, vocabulary, end_id, bits, file_ids), "shard long, file long, name string, n_ids long")
+    return [(r.name, r.n_ids) for r in sorted(made.collect())]  # a row for each 64 MB of ids
+
+
+def _read(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name, before in zip(column(batch, "name").to_pylist(), column(batch, "before").to_pylist()):
+                with store.open_input_file(f"{folder}/{name}") as file:
+                    rows = []
+                    for doc_id, start, ids in Reader(file).documents():
+                        rows.append((doc_id, before + start, len(ids), zlib.crc32(ids.tobytes())))
+                        if len(rows) == 10_000:
+                            yield _batch(rows)
+                            rows = []
+                    yield _batch(rows)
+
+    return released(run)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for shard, data in zip(column(batch, "shard").to_pylist(), column(batch, "content")):
-            rows = [(d, s, len(x), zlib.crc32(x.tobytes())) for d, s, x in Reader(data.as_py()).documents()]
-            yield pa.record_batch([pa.array([shard] * len(rows), pa.int64()), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]], ["shard", "doc_id", "local", "n_tokens", "ids_crc32"])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_back(spark: SparkSession, path: str, files: list[tuple[int, int]]) -> DataFrame:
+def read_back(spark: SparkSession, path: str, files: list[tuple[str, int]]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files under path."""
     prepare(spark)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not files:
         return spark.createDataFrame([], schema)
-    base, before = [], 0
-    for shard, n in files:
-        base.append((shard, before))
-        before += n
-    shard = F.regexp_extract("path", rf"part-(\d+)\.{SUFFIX}$", 1).cast("long").alias("shard")
-    content = spark.read.format("binaryFile").option("pathGlobFilter", f"part-*.{SUFFIX}").load(path).select(shard, "content")
-    rows = content.mapInArrow(released(_read), "shard long, doc_id long, local long, n_tokens long, ids_crc32 long")
-    # one row for each file: far below what a driver holds
-    starts = spark.createDataFrame(base, "shard long, before long")
-    return rows.join(F.broadcast(starts), "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    before = np.cumsum([0, *[n for _, n in files]])[:-1].tolist()
+    # a row and a task for each file
+    listed = spark.createDataFrame(list(zip([name for name, _ in files], before)), "name string, before long")
+    tasks = max(1, min(len(files), 10_000))
+    return listed.repartition(tasks).mapInArrow(_read(path), schema)
