@@ -1,8 +1,11 @@
 """Not-modified revisits of a web archive: each is given the latest earlier full response of its canonical URL.
 
-The as-of join works on narrow rows (no payloads) in two levels, so that no URL's whole history meets in one task:
-inside pieces of `piece_seconds` of a URL's time by a window, and across pieces by the last response of each piece, of
-which a URL has as many as its time span holds. Payload columns are joined to resolved revisits alone.
+The as-of join works on narrow rows (no payloads). First the records of a URL at one instant become one row, counted
+in their own tasks; then instants meet in two levels: inside pieces of `piece_seconds` of a URL's time by a window, and
+across pieces by the last response of each piece, of which a URL has as many as its time span holds. So however much
+traffic a URL has, no task gets more of its rows than a piece has instants. Revisits and payloads are joined with written
+tables that have each key once, where Spark's adaptive skew join splits a hot URL or original; payload columns are joined
+to resolved revisits alone.
 
 A revisit is `resolved` if a validator agrees (ETag by weak comparison, else Last-Modified), `mismatch` if one differs,
 `unverified` if the two records have no validator in common, and `missing` without an earlier response. Resolved and
@@ -18,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import spare, written
+
 #: Headers that a 304 answer renews (RFC 9110, 15.4.5, and the caching fields that go with them).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
-PIECE_SECONDS = 7 * 86400
+PIECE_SECONDS = 86400
 
 
 def canonical_url(url: Column) -> Column:
@@ -59,26 +64,28 @@ def resolve_revisits(records: DataFrame, piece_seconds: int = PIECE_SECONDS) ->
     """records (record_id, url, warc_date, warc_type, http_headers map) to a row for each revisit: revisit_id, url,
     canonical_url, warc_date, original_id, status, headers."""
     piece = F.floor(F.unix_seconds("_ts") / piece_seconds)
-    responses = _narrow(records, "response").where(F.col("_key").isNotNull() & F.col("_ts").isNotNull()).withColumn("_piece", piece)
-    revisits = _narrow(records, "revisit").withColumn("_piece", piece)
-    original = F.struct(F.col("_ts").alias("ts"), F.col("record_id").alias("id"), F.col("_headers").alias("headers"))
+    known = F.col("_key").isNotNull() & F.col("_ts").isNotNull()
     named = "struct<ts:timestamp,id:bigint,headers:map<string,string>>"
+    original = F.struct(F.col("_ts").alias("ts"), F.col("record_id").alias("id"), F.col("_headers").alias("headers")).cast(named)
+    revisits = _narrow(records, "revisit")
 
-    # inside a piece: revisits come before responses of the same instant
-    both = responses.select("_key", "_piece", "_ts", F.lit(1).alias("_kind"), "record_id", F.lit(None).cast("string").alias("_url"), "_headers", original.cast(named).alias("_o")).unionByName(
-        revisits.where("_key is not null and _ts is not null").select("_key", "_piece", "_ts", F.lit(0).alias("_kind"), "record_id", "_url", "_headers", F.lit(None).cast(named).alias("_o"))
-    )
-    order = Window.partitionBy("_key", "_piece").orderBy("_ts", "_kind", "record_id")
-    inside = both.withColumn("_in", F.last("_o", ignorenulls=True).over(order)).where("_kind = 0")
+    # one row for each instant of a URL: its response of the largest record_id, and whether a revisit asks
+    told = _narrow(records, "response").where(known).groupBy("_key", "_ts").agg(F.max_by(original, "record_id").alias("_o"))
+    asked = revisits.where(known).select("_key", "_ts").distinct()
+    instants = told.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    instants = written(instants.withColumn("_piece", piece), "instants")
+
+    # inside a piece: an answer comes before the responses of its own instant
+    order = Window.partitionBy("_key", "_piece").orderBy("_ts", F.col("_asked").desc())
+    inside = instants.withColumn("_in", F.last("_o", ignorenulls=True).over(order)).where("_asked")
 
     # across pieces: the last response of each, then of the pieces before
-    pieces = both.groupBy("_key", "_piece").agg(F.max_by(F.col("_o"), F.when(F.col("_kind") == 1, F.struct("_ts", "record_id"))).alias("_last"))
+    pieces = instants.groupBy("_key", "_piece").agg(F.max_by("_o", F.when(F.col("_o").isNotNull(), F.col("_ts"))).alias("_last"))
     before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     carried = pieces.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).select("_key", "_piece", "_before")
-    found = inside.join(carried, ["_key", "_piece"], "left").withColumn("_o", F.coalesce("_in", "_before"))
-    found = found.select("record_id", "_url", "_key", "_ts", "_headers", "_o").unionByName(
-        revisits.where("_key is null or _ts is null").select("record_id", "_url", "_key", "_ts", "_headers", F.lit(None).cast(named).alias("_o"))
-    )
+    answers = inside.join(carried, ["_key", "_piece"], "left").select("_key", "_ts", F.coalesce("_in", "_before").alias("_o"))
+    found = revisits.where(known).join(written(answers, "answers"), ["_key", "_ts"]).select("record_id", "_url", "_key", "_ts", "_headers", "_o")
+    found = found.unionByName(revisits.where(~known).select("record_id", "_url", "_key", "_ts", "_headers", F.lit(None).cast(named).alias("_o")))
     agree = _agree(F.col("_headers"), F.col("_o.headers"))
     status = F.when(F.col("_o").isNull(), "missing").when(agree, "resolved").when(~agree, "mismatch").otherwise("unverified")
     renewed = lambda k, _: k.isin(PERMITTED)
@@ -93,10 +100,13 @@ def resolve_revisits(records: DataFrame, piece_seconds: int = PIECE_SECONDS) ->
 
 
 def with_payload(resolved: DataFrame, records: DataFrame, columns: list[str]) -> DataFrame:
-    """Resolved revisits with the payload columns of their originals; the others with nulls."""
-    originals = records.where("warc_type = 'response'").select(F.col("record_id").alias("_o"), *columns)
-    wanted = F.when(F.col("status").isin("resolved", "unverified"), F.col("original_id"))
-    return resolved.withColumn("_w", wanted).join(originals, F.col("_w") == F.col("_o"), "left").drop("_w", "_o")
+    """Resolved revisits with the payload columns of their originals, the others with nulls; a payload column whose name
+    `resolved` has gets an underscore."""
+    wanted = F.col("status").isin("resolved", "unverified")
+    own, shown = spare(resolved, "_o"), [F.col(c).alias(spare(resolved, c)) for c in columns]
+    originals = records.where("warc_type = 'response'").select(F.col("record_id").alias(own), *shown)
+    some = resolved.where(wanted).join(originals, F.col("original_id") == F.col(own), "left").drop(own)
+    return some.unionByName(resolved.where(~wanted), allowMissingColumns=True)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
