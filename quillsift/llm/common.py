@@ -51,9 +51,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder, so that a lost executor costs no recomputation."""
+#: Rows of narrow tables that a file may hold, and files that a table may have however small it is.
+FILE_ROWS, FEW_FILES = 1 << 20, 16
+
+
+def written(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder, so that a lost executor costs no recomputation.
+
+    Where a bound of its rows is known (`most`), a table of few rows gets few files."""
     path = new_folder(df.sparkSession, name)
+    if most is not None:
+        df = df.coalesce(max(FEW_FILES, -(-most // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
