@@ -94,7 +94,10 @@ def markup_text(html: Column) -> Column:
 
 def spans(text: Column, term: str) -> Column:
     """Starts (from 0) of a term's occurrences that do not overlap, any case."""
-    parts = F.split(F.lower(text), quote(term.lower()))
-    lengths = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.length)
-    step = len(term)
-    return F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + i * step)
+    low, word = F.lower(text), term.lower()
+    parts = F.split(low, quote(word))
+    # a part's start is found from the one before it, so the cost is linear in the hits
+    return F.aggregate(
+        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda a, x: F.struct((a["at"] + F.length(x) + len(word)).alias("at"), F.array_append(a["out"], a["at"] + F.length(x)).alias("out")), lambda a: a["out"],
+    )

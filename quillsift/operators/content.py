@@ -90,7 +90,7 @@ def pattern(text: str) -> list[list[str]]:
 def needle(text: Column, word: str) -> Column:
     """Any case; a regular expression must match inside one line, behind the literal that it needs."""
     if m := re.match(r"(?:regex|re):(.+)", word):
-        hit = text.rlike(f"(?im){m[1]}")
+        hit = F.exists(F.split(text, "\n"), lambda line: line.rlike(f"(?i){m[1]}"))
         literal = required_literal(m[1])
         return F.contains(F.lower(text), F.lit(literal)) & hit if literal and literal.isascii() else hit
     return F.contains(F.lower(text), F.lit(word.lower()))

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Folders that hold tools' own files; a name that starts with a dot or ~ is one too.
-WORK_SUFFIXES = ["tmp", "bak", "crdownload", "part", "log1", "log2"]
+#: Extensions of tools' own files, and ends of extensions of a database's side files.
+WORK_EXTENSIONS = [
+    "tmp", "temp", "bak", "crdownload", "part", "partial", "download", "opdownload", "!ut", "lock", "lck",
+    "swp", "swo", "log", "etl", "blf", "regtrans-ms", "dat", "db", "wal",
+    "shm", "ldb", "edb", "jfm", "crc", "mmkv", "dmp", "mdmp", "symcache", "obj", "o", "pdb", "ilk", "idb", "iobj", "ipdb", "pch",
+    "ipch", "tlog", "lastbuildstate", "exp", "ninja_log", "ninja_deps", "d", "pyc", "class", "cache",
+]
+WORK_SUFFIXES = ["-wal", "-shm", "-journal"]
 
 
 def under(ids: list[int]) -> Column:
@@ -33,8 +39,15 @@ def path_tail(parts: list[str]) -> Column:
     return F.slice(F.concat("folders", F.array("name_folded")), -len(parts), len(parts)) == F.array(*[F.lit(p) for p in parts])
 
 
-def work_file(name_folded: Column, ext: Column) -> Column:
-    return name_folded.rlike(r"^[.~]|^[0-9a-f]{16}") | ext.isin(WORK_SUFFIXES)
+def work_file(name_folded: Column, ext: Column, is_dir: Column | None = None) -> Column:
+    """Noise: empty names and names with a dot or ~ in front; of files also a hash of 16 digits or more in front (a
+    run of digits alone may be a date), tools' extensions, kept-aside copies and a database's side files."""
+    stem = F.regexp_replace(name_folded, r"\.[^.]*$", "")
+    run = F.regexp_extract(stem, "^[0-9a-f]*", 0)
+    hashed = (F.length(run) >= 16) & run.rlike("[a-f]")
+    side = ext.rlike(f".(?:{'|'.join(WORK_SUFFIXES)})$") | ext.rlike("^bak-.")
+    file = hashed | F.coalesce(ext.isin(WORK_EXTENSIONS) | side, F.lit(False))
+    return (name_folded == "") | name_folded.rlike("^[.~]") | (file if is_dir is None else ~is_dir & file)
 
 
 def semi_below(entries: DataFrame, folders: DataFrame) -> DataFrame:
@@ -67,12 +80,13 @@ READ_KINDS = {"code": ["c", "cpp", "java", "js", "py", "rs", "sql"], "data": ["c
 
 
 def read_verdict(low_priority: Column) -> Column:
-    """Whether a file's text is read: read, low_priority, too_large, unknown_size or other_type."""
-    limit = None
-    for kind, names in READ_KINDS.items():
-        hit = F.col("ext").isin(names)
-        limit = F.when(hit, READ_LIMITS[kind]) if limit is None else limit.when(hit, READ_LIMITS[kind])
-    return F.when(limit.isNull(), "other_type").when(F.col("size").isNull(), "unknown_size").when(F.col("size") > limit, "too_large").when(low_priority, "low_priority").otherwise("read")
+    """Whether a file's text is read: read, low_priority, too_large or unknown_size. Extensions that no kind lists, and
+    none at all, count as text."""
+    limit = F.when(F.col("ext").isin(READ_KINDS["text"]), READ_LIMITS["text"])
+    for kind in ("code", "data", "document"):
+        limit = limit.when(F.col("ext").isin(READ_KINDS[kind]), READ_LIMITS[kind])
+    limit = limit.otherwise(READ_LIMITS["text"])
+    return F.when(F.col("size").isNull(), "unknown_size").when(F.col("size") > limit, "too_large").when(low_priority, "low_priority").otherwise("read")
 
 
 def hidden(rules: DataFrame, entries: DataFrame) -> DataFrame:

@@ -332,10 +332,12 @@ def _way(way: Way, f: Fields, readings: dict, fallback: bool) -> Column:
         parts.append(hit)
     if loose and not way.extensions:  # one word at least is the name's own
         parts.append(reduce(Column.__or__, [_name_hit(t, f, readings) for t in way.positive]))
-    return F.coalesce(reduce(Column.__and__, parts), F.lit(False)) if parts else F.lit(True)
+    return reduce(Column.__and__, parts) if parts else F.lit(True)
 
 
 def predicate(ways: list[Way], f: Fields, readings: dict | None = None, fallback: bool = True) -> Column:
+    """True where an entry matches; null, which a filter drops too, may stand for false where a value is unknown. So the
+    parts stay a plain AND that Catalyst splits and pushes into the scan."""
     return reduce(Column.__or__, [_way(w, f, readings or {}, fallback) for w in ways])
 
 

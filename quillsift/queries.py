@@ -202,7 +202,7 @@ def path_closure(spark, sf_dir):
     nodes = table(spark, sf_dir, "region").selectExpr("bigint(r_regionkey * 8) id", "bigint(null) parent_id", "r_name name")
     nodes = nodes.unionByName(table(spark, sf_dir, "nation").selectExpr("bigint(n_nationkey * 8 + 1) id", "bigint(n_regionkey * 8) parent_id", "n_name name"))
     nodes = nodes.unionByName(table(spark, sf_dir, "customer").selectExpr("c_custkey * 8 + 2 id", "bigint(c_nationkey * 8 + 1) parent_id", "c_name name"))
-    return with_paths(nodes, 8).select("id", F.array_join("segments", "/").alias("path"), F.size("ancestor_ids").alias("depth"))
+    return with_paths(nodes).select("id", F.array_join("segments", "/").alias("path"), F.size("ancestor_ids").alias("depth"))
 
 
 @register(
@@ -336,7 +336,7 @@ CONTENT_QUERIES = {
     "content_all_words": ("rights reserved the", "contains(lower(text), 'rights') AND contains(lower(text), 'reserved') AND contains(lower(text), 'the')"),
     "content_phrase": ('"all rights reserved"', "contains(lower(text), 'all rights reserved')"),
     "content_dnf": ("licensed cc | pathetic|stupid", "(contains(lower(text), 'licensed') AND contains(lower(text), 'cc')) OR contains(lower(text), 'pathetic') OR contains(lower(text), 'stupid')"),
-    "content_regex": (r"regex:licensed\sunder\s[a-z-]+\sby", r"regexp_matches(text, '(?i)licensed\sunder\s[a-z-]+\sby')"),
+    "content_regex": (r"regex:licensed\sunder\s[a-z-]+\sby", r"len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licensed\sunder\s[a-z-]+\sby'))) > 0"),
 }
 
 
@@ -519,7 +519,7 @@ def hidden_folders(spark, sf_dir):
 
 @register(
     "read_verdicts",
-    f"""{ENTRIES_SQL}, v AS (SELECT CASE WHEN ext IS NULL THEN 'other_type' WHEN size IS NULL THEN 'unknown_size' WHEN size > CASE ext WHEN 'txt' THEN {16 << 20} ELSE {100 << 20} END THEN 'too_large' WHEN folders[1] = 'europe' THEN 'low_priority' ELSE 'read' END AS verdict FROM entries WHERE NOT is_dir)
+    f"""{ENTRIES_SQL}, v AS (SELECT CASE WHEN size IS NULL THEN 'unknown_size' WHEN size > CASE WHEN ext IN ('docx', 'pdf') THEN {100 << 20} ELSE {16 << 20} END THEN 'too_large' WHEN folders[1] = 'europe' THEN 'low_priority' ELSE 'read' END AS verdict FROM entries WHERE NOT is_dir)
 SELECT verdict, count(*) AS files FROM v GROUP BY verdict""",
 )
 def read_verdicts(spark, sf_dir):
@@ -527,10 +527,27 @@ def read_verdicts(spark, sf_dir):
     return files.withColumn("verdict", hierarchy.read_verdict(F.get("folders", 0) == "europe")).groupBy("verdict").agg(F.count(F.lit(1)).alias("files"))
 
 
-@register("work_files", r"SELECT p_partkey FROM part WHERE regexp_matches(md5(p_name) || '.' || p_type, '^[.~]|^[0-9a-f]{16}') AND p_size < 25")
+@register(
+    "work_files",
+    r"""
+WITH n AS (
+  SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN '.' WHEN 1 THEN '~$' WHEN 2 THEN substr(md5(p_name), 1, 20) || '_' WHEN 3 THEN '2024010112345678' WHEN 4 THEN substr(md5(p_name), 1, 12) || '-' ELSE '' END
+         || lower(p_brand) || CASE p_partkey % 7 WHEN 0 THEN '.log' WHEN 1 THEN '.txt' WHEN 2 THEN '.db-wal' WHEN 3 THEN '.bak-old' WHEN 4 THEN '' WHEN 5 THEN '.pdb' ELSE '.docx' END AS name FROM part),
+s AS (
+  SELECT *, regexp_extract(regexp_replace(name, '\.[^.]*$', ''), '^[0-9a-f]*', 0) AS run, p_partkey % 7 IN (0, 2, 3, 5) AS tool FROM n)
+SELECT p_partkey, name FROM s WHERE name LIKE '.%' OR name LIKE '~%' OR (length(run) >= 16 AND regexp_matches(run, '[a-f]')) OR tool
+""",
+)
 def work_files(spark, sf_dir):
-    name = F.concat(F.md5("p_name"), F.lit("."), F.col("p_type"))
-    return table(spark, sf_dir, "part").where(hierarchy.work_file(name, F.lower("p_type")) & (F.col("p_size") < 25)).select("p_partkey")
+    """Names as tools and people make them: hidden ones, lock files, hashes, dates, and extensions of both."""
+    k, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    head, tail = F.lit(""), F.lit(".docx")
+    for n, x in enumerate([F.lit("."), F.lit("~$"), F.concat(F.substring(F.md5("p_name"), 1, 20), F.lit("_")), F.lit("2024010112345678"), F.concat(F.substring(F.md5("p_name"), 1, 12), F.lit("-"))]):
+        head = F.when(k % 9 == n, x).otherwise(head)
+    for n, x in enumerate([".log", ".txt", ".db-wal", ".bak-old", "", ".pdb"]):
+        tail = F.when(k % 7 == n, F.lit(x)).otherwise(tail)
+    named = part.select("p_partkey", F.concat(head, F.lower("p_brand"), tail).alias("name"))
+    return named.where(hierarchy.work_file(F.col("name"), T.extension(F.col("name"), F.lit(False)))).select("p_partkey", "name")
 
 
 @register(

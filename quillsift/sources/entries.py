@@ -29,19 +29,34 @@ def derived(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_paths(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """segments and ancestor_ids of nodes (id, parent_id, name, ...): one join a level, until a level is empty."""
+def cut(df: DataFrame) -> DataFrame:
+    """A level of a walk with its lineage cut: by checkpoint() where the session names a folder for it, else kept."""
+    found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
+    if not found:
+        return df.persist()
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(found)
+    return df.checkpoint()
+
+
+def with_paths(nodes: DataFrame) -> DataFrame:
+    """segments and ancestor_ids of nodes (id, parent_id, name, ...): one join a level, until a level is empty.
+
+    Nodes that no root leads to are not listed; a node that lies below itself is an error."""
     level = nodes.where("parent_id IS NULL").withColumn("segments", F.array("name")).withColumn("ancestor_ids", F.array().cast("array<bigint>"))
     out = level
-    for _ in range(max_depth):
+    while True:
         up = level.select(F.col("id").alias("_p"), F.col("segments").alias("_s"), F.col("ancestor_ids").alias("_a"))
         level = nodes.join(up, F.col("parent_id") == F.col("_p")).select(
             *nodes.columns, F.concat("_s", F.array("name")).alias("segments"), F.concat("_a", F.array("_p")).alias("ancestor_ids")
         )
-        if level.isEmpty():
-            break
+        level = cut(level)
+        n, circles = level.agg(F.count(F.lit(1)), F.count_if(F.array_contains("ancestor_ids", F.col("id")))).first()
+        if circles:
+            raise ValueError("a node lies below itself")
+        if not n:
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsift.sources.entries import cut
+
 #: Byte order marks and the encodings they stand for.
 BOMS = (("EFBBBF", "UTF-8", 3), ("FFFE", "UTF-16LE", 2), ("FEFF", "UTF-16BE", 2))
 
@@ -55,15 +57,17 @@ def reconcile(indexed: DataFrame, listed: DataFrame, key: str = "path") -> DataF
     return a.join(b, key, "full_outer").select(key, change.alias("change")).where("change IS NOT NULL")
 
 
-def bookmarks(documents: DataFrame, json: str = "json", max_depth: int = 8) -> DataFrame:
+def bookmarks(documents: DataFrame, json: str = "json") -> DataFrame:
     """Rows (title, url, folder) of bookmark files, a JSON tree of children, walked a level at a time."""
     node = F.try_parse_json(F.col(json))
     level = documents.select(node.alias("n"), F.lit("").alias("folder"))
     out = None
-    for _ in range(max_depth):
+    while True:
         kids = level.select(F.explode(F.from_json(F.coalesce(F.try_variant_get("n", "$.children", "string"), F.lit("[]")), "array<string>")).alias("c"), F.concat_ws("/", F.nullif("folder", F.lit("")), F.try_variant_get("n", "$.name", "string")).alias("folder"))
         kids = kids.select(F.try_parse_json("c").alias("n"), "folder")
         found = kids.where(F.try_variant_get("n", "$.url", "string").isNotNull()).select(F.try_variant_get("n", "$.name", "string").alias("title"), F.try_variant_get("n", "$.url", "string").alias("url"), "folder")
         out = found if out is None else out.unionByName(found)
-        level = kids
-    return out
+        level = cut(kids.where(F.try_variant_get("n", "$.children", "string").isNotNull()).withColumn("n", F.to_json("n")))
+        if level.isEmpty():
+            return out
+        level = level.withColumn("n", F.try_parse_json("n"))

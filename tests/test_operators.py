@@ -14,12 +14,26 @@ from quillsift.streaming import changes
 
 
 def test_folder_totals(spark):
-    rows = [(1, None, "r", True, None), (2, 1, "docs", True, None), (3, 2, "one.txt", False, 1024), (4, 2, "nested", True, None), (5, 4, "two.txt", False, 2048), (6, 4, "unknown.txt", False, None), (7, 1, "alone", True, None), (8, 7, "new.log", False, None), (9, 1, "empty", True, None)]
+    """Sums over three levels; a folder of unknown sizes alone has no total, one without files has 0."""
+    rows = [(1, None, "shop", True, None), (2, 1, "orders", True, None), (3, 2, "may.csv", False, 70), (4, 2, "june.csv", False, None), (5, 2, "old", True, None), (6, 5, "april.csv", False, 9), (7, 1, "scans", True, None), (8, 7, "s1.tiff", False, None), (9, 7, "s2.tiff", False, None), (10, 1, "drafts", True, None), (11, 1, "logo.svg", False, 5)]
     entries = derived(with_paths(spark.createDataFrame([(*r, None, None) for r in rows], "id long, parent_id long, name string, is_dir boolean, size long, modified long, created long")))
     got = {r.id: r.total for r in hierarchy.folder_totals(entries).collect()}
-    assert got == {1: 3072, 2: 3072, 4: 2048, 7: None, 9: 0}
-    assert [r.name for r in hierarchy.empty_folders(entries).collect()] == ["empty"]
-    assert {r.name for r in entries.where(hierarchy.path_tail(["docs", "one.txt"])).collect()} == {"one.txt"}
+    assert got == {1: 84, 2: 79, 5: 9, 7: None, 10: 0}
+    assert [r.name for r in hierarchy.empty_folders(entries).collect()] == ["drafts"]
+    assert {r.name for r in entries.where(hierarchy.path_tail(["orders", "old", "april.csv"])).collect()} == {"april.csv"}
+
+
+def test_work_files(spark):
+    names = {"": True, ".env": True, "~lock.odt": True, "0123456789abcdef_x.bin": True, "2024010112345678.csv": False, "app.LOG": True, "x.pdb": True, "a.db-wal": True, "a.exe.bak-1": True, "plan.docx": False, "abcdef.txt": False, "README": False}
+    df = spark.createDataFrame([(n,) for n in names], "name string").withColumn("low", F.lower("name"))
+    got = {r.name: r.w for r in df.select("name", hierarchy.work_file(F.col("low"), T.extension(F.col("name"), F.lit(False))).alias("w")).collect()}
+    assert got == names
+
+
+def test_a_pattern_stays_on_its_line(spark):
+    df = spark.createDataFrame([("licensed\nunder it",), ("is licensed under it",), ("b\nc",), ("bxc",), (None,)], "text string")
+    hits = lambda q: [r.text for r in df.where(content.matches(F.col("text"), content.pattern(q))).collect()]
+    assert hits(r"re:licensed\sunder") == ["is licensed under it"] and hits("re:b[^x]c") == [] and hits("re:^b") == ["b\nc", "bxc"]
 
 
 def grams(text):
@@ -129,7 +143,7 @@ def test_readers_and_export(spark, tmp_path):
     lines = spark.createDataFrame([("=1+1", 'a"b')], "x string, y string").select(export.csv_line([F.col("x"), F.col("y")]).alias("l")).first().l
     assert lines == "'=1+1,\"a\"\"b\""
     tree = '{"name":"root","children":[{"name":"a","url":"http://a"},{"name":"f","children":[{"name":"b","url":"http://b"}]}]}'
-    found = readers.bookmarks(spark.createDataFrame([(tree,)], "json string"), max_depth=3).collect()
+    found = readers.bookmarks(spark.createDataFrame([(tree,)], "json string")).collect()
     assert {(r.title, r.url, r.folder) for r in found} == {("a", "http://a", "root"), ("b", "http://b", "root/f")}
 
 
