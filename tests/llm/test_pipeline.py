@@ -15,7 +15,7 @@ def test_whole_pipeline_against_a_plain_one(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels)
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
-    rows = [(i, t) for i, t in rows if model.score((t or "").encode())[0] < 0.5]
+    rows = [x for x, (p1, _, _) in zip(rows, model.score([(t or "").encode() for _, t in rows])) if p1 < 0.5]
     rows = [(i, t) for i, _, _, t in brute_lines(rows)]
     rows = [(i, t) for (i, t), (j, _, c) in zip(rows, brute_groups(rows, 5, 4, 5)) if i == j == c]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
