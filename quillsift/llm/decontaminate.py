@@ -36,7 +36,7 @@ WINDOW = LENGTH - K + 1
 REACH = LENGTH - K
 SPAN = K + 2 * REACH
 #: Bits of the bitmap of the items' fingerprints: 16 for each, at least and at most so many.
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
+MIN_BITS, MAX_BITS = 1 << 22, 1 << 27
 
 #: Every byte that is no word character becomes a space, A-Z lower case.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
