@@ -31,8 +31,6 @@ def _points(term: Term, f: Fields, readings: dict) -> Column:
 
 
 
-
-
 def score(ways: list[Way], f: Fields | None = None, readings: dict | None = None) -> Column:
     """Points of the best way: places of the terms, whole names, and how much of the name the terms cover (bytes)."""
     f, readings, each = f or fields(), readings or {}, []
@@ -54,6 +52,14 @@ def score(ways: list[Way], f: Fields | None = None, readings: dict | None = None
     return best + F.when(f.is_dir, 2).otherwise(0)
 
 
+def entry_score(points: Column, low: Column, hidden: Column, preferred: list[str], exact: Column) -> Column:
+    """A name's points as its entry ranks: preferred types gain 12, hidden entries lose 15 and those of low priority 35,
+    unless they are named just what was typed; each level of depth takes one off, 12 at most."""
+    liked = ~F.col("is_dir") & F.coalesce(F.col("ext").isin(preferred), F.lit(False))
+    place = F.when(low & ~exact, -35).otherwise(0) - F.when(hidden, 15).otherwise(0) + F.when(liked, 12).otherwise(0)
+    return (points + place - F.least("depth", F.lit(12))).cast("int")
+
+
 def by_match(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("score"), F.desc("modified"), F.asc("id"))
 

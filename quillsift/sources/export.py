@@ -27,7 +27,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def json_lines(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns)).alias("line"))
+    """A JSON object for each row; unknown values are nulls, not left out."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("line"))
 
 
 def snapshot(df: DataFrame, path: str) -> None:

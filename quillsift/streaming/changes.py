@@ -10,40 +10,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Journal rows: seq, file_id, parent_id, name, reason (create, delete, rename_old, rename_new, data, attr, close).
-CHANGE = "file_id long, op string, name string, parent_id long, old_name string, seq long"
+CHANGE = "file_id long, op string, name string, parent_id long, old_name string, seq long, old_parent long"
 WINDOW_MS, COPIES = 10_000, 3
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["file_id", "op", "name", "parent_id", "old_name", "seq"])
-    return out.astype({"parent_id": "Int64"})
+    out = pd.DataFrame(rows, columns=["file_id", "op", "name", "parent_id", "old_name", "seq", "old_parent"])
+    return out.astype({"parent_id": "Int64", "old_parent": "Int64"})
 
 
 def _apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One file's records in order: a reason counts once until close, rename halves are paired over batches."""
-    seen, old = state.get if state.exists else ("", None)
+    seen, old, parent = state.get if state.exists else ("", None, None)
     done, out = set(filter(None, (seen or "").split(","))), []
     rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
     for r in rows.itertuples():
         if r.reason == "close":
             done.clear()
         elif r.reason == "rename_old":
-            old = r.name  # gone, unless a second half says where to
-            out.append((key[0], "remove", None, None, old, r.seq))
+            old, parent = r.name, None if pd.isna(r.parent_id) else int(r.parent_id)  # gone, unless a second half says where to
+            out.append((key[0], "remove", None, None, old, r.seq, parent))
         elif r.reason == "rename_new":
-            out.append((key[0], "rename" if old else "upsert", r.name, r.parent_id, old, r.seq))
-            old = None
+            out.append((key[0], "rename" if old else "upsert", r.name, r.parent_id, old, r.seq, parent))
+            old = parent = None
         elif r.reason not in done:
             done.add(r.reason)
-            out.append((key[0], "remove" if r.reason == "delete" else "upsert", r.name, r.parent_id, None, r.seq))
-    state.update((",".join(sorted(done)), old))
+            out.append((key[0], "remove" if r.reason == "delete" else "upsert", r.name, r.parent_id, None, r.seq, None))
+    if done or old:
+        state.update((",".join(sorted(done)), old, parent))
+    elif state.exists:
+        state.remove()  # closed: nothing of the file is kept
     if out:
         yield _frame(out)
 
 
 def changes(journal: DataFrame) -> DataFrame:
-    """A journal stream to the changes that it means; state is a few words for each open file."""
-    return journal.groupBy("file_id").applyInPandasWithState(_apply, CHANGE, "seen string, old string", "append", GroupStateTimeout.NoTimeout)
+    """A journal stream to the changes that it means; state is a few words for each file that is open or half renamed."""
+    return journal.groupBy("file_id").applyInPandasWithState(_apply, CHANGE, "seen string, old string, parent long", "append", GroupStateTimeout.NoTimeout)
 
 
 def last_of_each(batch: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import scalars
 from quillsift.functions import text as T
-from quillsift.operators import content, hierarchy, relate, vectors
+from quillsift.operators import arrange, content, hierarchy, relate, vectors
+from quillsift.plans import rank
 from quillsift.sources import export, readers
 from quillsift.sources.entries import derived, with_paths
 from quillsift.streaming import changes
@@ -169,7 +170,7 @@ def test_journal_stream(spark, tmp_path):
 
 def test_batches_are_idempotent(spark):
     entries = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "file_id long, name string, parent_id long")
-    batch = spark.createDataFrame([(1, "remove", None, None, None, 5), (3, "upsert", "c", 0, None, 6), (2, "rename", "d", 4, "b", 7)], changes.CHANGE)
+    batch = spark.createDataFrame([(1, "remove", None, None, None, 5, None), (3, "upsert", "c", 0, None, 6, None), (2, "rename", "d", 4, "b", 7, 0)], changes.CHANGE)
     once = changes.applied(entries, batch)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, changes.applied(once, batch).collect())) == [(2, "d", 4), (3, "c", 0)]
 
@@ -180,6 +181,9 @@ class _State:
     def update(self, value):
         self.exists, self.get = True, value
 
+    def remove(self):
+        self.exists, self.get = False, None
+
     def setTimeoutTimestamp(self, at):
         self.at = at
 
@@ -192,3 +196,54 @@ def test_repeats_open_their_own_windows():
     state = _State()
     out = pd.concat(list(changes._repeats(("m",), iter([pd.DataFrame({"ts": [at(s) for s in (3, 4, 5, 6, 12, 13)]})]), state)))
     assert out["suppressed"].tolist() == [0, 0, 0, 2, 0]
+
+
+def test_journal_state_ends_with_its_file():
+    record = lambda seq, parent, name, reason: {"seq": seq, "file_id": 5, "parent_id": parent, "name": name, "reason": reason}
+    state = _State()
+    run = lambda *rows: [tuple(None if pd.isna(x) else x for x in r) for out in changes._apply((5,), iter([pd.DataFrame(rows)]), state) for r in out.itertuples(index=False)]
+    assert run(record(1, 8, "peas", "create")) == [(5, "upsert", "peas", 8, None, 1, None)] and state.exists
+    assert run(record(2, 8, "peas", "data"), record(3, 8, "peas", "close")) == [(5, "upsert", "peas", 8, None, 2, None)] and not state.exists
+    assert run(record(4, 8, "peas", "rename_old")) == [(5, "remove", None, None, "peas", 4, 8)] and state.exists
+    assert run(record(5, 9, "beans", "rename_new"), record(6, 9, "beans", "close")) == [(5, "rename", "beans", 9, "peas", 5, 8)] and not state.exists
+
+
+def test_scope_of_changes(spark):
+    rows = [(1, "rename", "in", 7, "a", 1, 3), (2, "rename", "out", 3, "b", 2, 7), (3, "rename", "stays", 7, "c", 3, 7), (4, "upsert", "new", 7, None, 4, None), (5, "upsert", "elsewhere", 3, None, 5, None), (6, "remove", None, None, "d", 6, 7)]
+    watched = spark.createDataFrame([(7,)], "folder_id long")
+    got = changes.in_scope(spark.createDataFrame(rows, changes.CHANGE), watched).select("file_id", "op").collect()
+    assert sorted(map(tuple, got)) == [(1, "upsert"), (2, "remove"), (3, "rename"), (4, "upsert"), (6, "remove")]
+
+
+def test_streams_of_counts_and_repeats(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 3, 1, 12) + dt.timedelta(seconds=s)
+    rows = [(at(s), "m", 1.0) for s in (0, 1, 2, 3, 4, 11)] + [(at(1), "n", 2.0)]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
+
+    def run(df, name, mode):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    counted = run(changes.counts(stream, "10 seconds"), "counted", "complete").select("event_type", "n", "total").collect()
+    assert sorted(map(tuple, counted)) == [("m", 1, 1.0), ("m", 5, 5.0), ("n", 1, 2.0)]
+    shown = run(changes.limited(stream.select(F.col("event_type").alias("message"), "ts")), "limited", "append").collect()
+    assert sorted((r.message, r.suppressed) for r in shown) == [("m", 0)] * 4 + [("m", 2), ("n", 0)]
+
+
+def test_arranged(spark):
+    tree = [(1, None, "P:", True, None, 0), (2, 1, "Users", True, None, 0), (3, 2, "ann", True, None, 0), (4, 3, "notes", True, None, 0), (5, 4, "trip", True, None, 0), (6, 5, "far", True, None, 0), (7, 6, "map.svg", False, 1, 50), (8, 3, "map", True, None, 60), (9, 1, ".cache", True, None, 0), (10, 9, "map.exe", False, 1, 40), (11, 1, "mapper.txt", False, 1, 30), (12, 5, "map of rome.txt", False, 1, 20), (13, None, "maps", True, None, 10)]
+    entries = derived(with_paths(spark.createDataFrame([(*r, r[5]) for r in tree], "id long, parent_id long, name string, is_dir boolean, size long, modified long, created long")))
+    trees = {r.id: r.tree for r in entries.select("id", arrange.tree_folder().alias("tree")).collect()}
+    assert [trees[i] for i in (7, 8, 10, 11, 12, 13)] == [5, 3, 9, 1, 5, None]
+    assert {r.id for r in entries.where(arrange.low_priority(["far"])).collect()} == {6, 7, 9, 10}
+    hits = entries.where("name_folded LIKE 'map%'").withColumn("score", F.lit(1))
+    history = spark.createDataFrame([(12, 5), (12, 9), (11, 7), (99, 100)], "id long, opened long")
+    got = arrange.arranged(hits, history, ["map"], ["exe"], 10).collect()
+    assert [(r.id, r.part) for r in got] == [(12, 0), (11, 0), (10, 1), (8, 2), (7, 2), (13, 4)]
+    assert [r.id for r in arrange.inside_first(hits, hierarchy.under([9]), arrange.best(), 3).collect()] == [10, 8, 7]
+    assert [r.id for r in arrange.by_folder(entries.where("id in (7, 8, 11, 12)")).collect()] == [11, 8, 12, 7]
+    points = hits.select("id", rank.entry_score(F.lit(100), arrange.low_priority(), F.lit(False), ["exe"], arrange.exact_name(["map"])).alias("s"))
+    assert {r.id: r.s for r in points.collect()} == {7: 94, 8: 97, 10: 110, 11: 99, 12: 95, 13: 100}
+    known = spark.createDataFrame([(7, 50), (10, 1)], "id long, stamp long")
+    assert sorted(map(tuple, arrange.to_read(entries, known).collect())) == [(10, "changed"), (11, "new"), (12, "new")]
