@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.operators import content, hierarchy
+from quillsift.operators import arrange, content, hierarchy
 from quillsift.plans import query as Q
 from quillsift.plans import rank
 
@@ -17,11 +17,13 @@ def visible(rows: DataFrame, hidden_folders: list[int]) -> DataFrame:
     return rows.where(~hierarchy.within(hidden_folders)) if hidden_folders else rows
 
 
-def search_files(entries: DataFrame, query: str, limit: int = 30, offset: int = 0, sort: str = "match", descending: bool = False, regex: bool = False, now: dt.datetime | None = None, hidden_folders: list[int] = (), readings: dict | None = None) -> DataFrame:
-    """Ranked rows of a search text; `limit` is at most 200."""
+def search_files(entries: DataFrame, query: str, limit: int = 30, offset: int = 0, sort: str = "match", descending: bool = False, regex: bool = False, now: dt.datetime | None = None, hidden_folders: list[int] = (), readings: dict | None = None, preferred: list[str] = (), low_priority: list[str] = ()) -> DataFrame:
+    """Ranked rows of a search text; `limit` is at most 200. Extensions in `preferred` gain points, folders named in
+    `low_priority` and those with a dot in front lose them with all that is in them."""
     ways = Q.parse(query, regex, now)
     hits = visible(entries, list(hidden_folders)).where(Q.predicate(ways, Q.fields(), readings))
-    hits = hits.withColumn("score", rank.score(ways, readings=readings))
+    low, exact = arrange.low_priority(low_priority), arrange.exact_name([query])
+    hits = hits.withColumn("score", rank.entry_score(rank.score(ways, readings=readings), low, F.lit(False), list(preferred), exact))
     ordered = rank.by_match(hits) if sort == "match" else rank.by(hits, sort, descending)
     return ordered.offset(offset).limit(min(limit, 200))
 

@@ -64,8 +64,3 @@ def affinity(weights: DataFrame, typed: str) -> DataFrame:
 def kinds_of(entries: DataFrame, k: int = 3) -> DataFrame:
     """The commonest extensions and their numbers of files."""
     return entries.where("ext IS NOT NULL").groupBy("ext").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "ext").limit(k)
-
-
-def first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row of each key, the first in order; a maximum of structs combines before the shuffle, a window would not."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -96,6 +96,8 @@ def test_sample_tree(spark):
     assert names(api.search_files(entries, "^soup", sort="modified", offset=1, limit=1)) == ["Soup stock.txt"]
     assert names(api.get_file_info(entries, "n:\\PANTRY\\Jam.csv")) == ["jam.csv"]
     assert names(api.search_files(entries, "soups leek")) == ["leek.txt"]
+    assert names(api.search_files(entries, "ext:txt;csv", preferred=["csv"], limit=1)) == ["spare soup.csv"]
+    assert [(r.name, r.score) for r in api.search_files(entries, "soup.jpeg | bread.txt", low_priority=["kitchen"]).collect()] == [("bread.txt", 78), ("soup.jpeg", 78)]  # 30 + 60 + 25 - 35 - 2
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
