@@ -37,6 +37,11 @@ def with_history(hits: DataFrame, history: DataFrame) -> DataFrame:
     return hits.join(history.groupBy("id").agg(F.max("opened").alias("opened")), "id", "left")
 
 
+def with_favourites(hits: DataFrame, favourites: DataFrame) -> DataFrame:
+    """Left join to favourites (id): whether each hit is one."""
+    return hits.join(favourites.select("id").distinct().withColumn("favourite", F.lit(True)), "id", "left").withColumn("favourite", F.coalesce("favourite", F.lit(False)))
+
+
 def arranged(hits: DataFrame, history: DataFrame, typed: list[str], preferred: list[str], limit: int, folders_first: bool = False) -> DataFrame:
     """Hits (with score) as they are listed: the RECENT ones opened last, then those named just what was typed, files
     of preferred types in front of them, then the two kinds apart. Adds part (0 to 4).

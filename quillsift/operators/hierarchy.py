@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.functions.text import glob_regex
+
 #: Extensions of tools' own files, and ends of extensions of a database's side files.
 WORK_EXTENSIONS = [
     "tmp", "temp", "bak", "crdownload", "part", "partial", "download", "opdownload", "!ut", "lock", "lck",
@@ -98,3 +100,13 @@ def hidden(rules: DataFrame, entries: DataFrame) -> DataFrame:
 def skip_reason(excluded_ext: list[str], hidden: list[int]) -> Column:
     """Why an entry is left out: at most one reason, counted apart."""
     return F.when(F.col("ext").isin(excluded_ext) & under(hidden), "both").when(F.col("ext").isin(excluded_ext), "type").when(under(hidden), "hidden").otherwise("shown")
+
+
+def left_out(excluded_ext: list[str], globs: list[str], hidden: list[int]) -> Column:
+    """The same for types and names: files of an extension or with a name of a pattern (*, ?) are out as a type; a folder
+    is none, whatever its name."""
+    named = F.lit(False)
+    for g in globs:
+        named = named | F.col("name_folded").rlike(glob_regex(g))
+    kind = ~F.col("is_dir") & (F.coalesce(F.col("ext").isin(excluded_ext), F.lit(False)) | named)
+    return F.when(kind & under(hidden), "both").when(kind, "type").when(under(hidden), "hidden").otherwise("shown")

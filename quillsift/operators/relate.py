@@ -64,3 +64,8 @@ def affinity(weights: DataFrame, typed: str) -> DataFrame:
 def kinds_of(entries: DataFrame, k: int = 3) -> DataFrame:
     """The commonest extensions and their numbers of files."""
     return entries.where("ext IS NOT NULL").groupBy("ext").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "ext").limit(k)
+
+
+def capped(history: DataFrame, most: int) -> DataFrame:
+    """The entities (entity, last) used last, as many as a history keeps."""
+    return history.orderBy(F.desc("last"), "entity").limit(most)

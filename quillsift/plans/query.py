@@ -188,9 +188,21 @@ def required_literal(pattern: str) -> str:
     return T.fold(best)
 
 
+def typed_path(text: str) -> list[str] | None:
+    """The folded parts of an absolute path, typed or pasted whole (in quotes too), the name last; None if the text is
+    none. Its spaces are in the names, not between terms."""
+    body = re.fullmatch(r'\s*("?)(.*?)\1\s*', text)[2]
+    if not re.fullmatch(r"""(?:[A-Za-z]:|[\\/]{2}[^\\/:*?"<>|\s][^\\/:*?"<>|]*)(?:[\\/][^:*?"<>|]*)?""", body):
+        return None
+    parts = T.fold(body).replace("/", "\\").split("\\")
+    return [*parts, ""] if len(parts) == 1 else [*parts[:-1], parts[-1].strip()]
+
+
 def parse(text: str, regex_mode: bool = False, now: dt.datetime | None = None) -> list[Way]:
     """Ways to match (an or of ands)."""
     now = now or dt.datetime(2026, 1, 1)
+    if not regex_mode and (path := typed_path(text)):
+        return [Way([Term("word", path[-1], ancestors=[a for a in path[:-1] if a])])]
     ways, any_token, bar = [Way()], False, False
     for token in tokens(text):
         plain = "".join(c for c, _ in token)

@@ -586,7 +586,8 @@ def text_passages(spark, sf_dir):
     return vectors.passages(table(spark, sf_dir, "documents"), "doc_id", "text").select("file", "passage", F.length("text").alias("chars"))
 
 
-@register("gram_fingerprints")
+@register("gram_fingerprints", f"""{_GRAMS_SQL}, f AS (SELECT c.content_id, sha256(coalesce(string_agg(gram, chr(1) ORDER BY gram), '')) AS fingerprint FROM c LEFT JOIN g ON c.content_id = g.content_id GROUP BY c.content_id)
+SELECT fingerprint, count(*) AS copies FROM conversations JOIN f ON sha256(text) = content_id GROUP BY fingerprint""")
 def gram_fingerprints(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
     return rows.groupBy(content.fingerprint(F.col("text")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("copies"))

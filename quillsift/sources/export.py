@@ -21,9 +21,31 @@ def csv_line(columns: list[Column]) -> Column:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A report for spreadsheets; every text cell is guarded."""
+    """A report for spreadsheets; every text cell is guarded, and each file starts with a byte order mark."""
     kinds = dict(df.dtypes)
-    df.select(*[guarded(F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in df.columns]).write.option("header", True).option("lineSep", "\r\n").csv(path)
+    cells = [(guarded(F.col(c)) if kinds[c] == "string" else F.col(c)).alias(c if i else "\ufeff" + c) for i, c in enumerate(df.columns)]
+    out = df.select(*cells).write.options(header=True, lineSep="\r\n", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    out.csv(path)
+
+
+#: Columns by bit, as a caller may ask for them (fixed values).
+ASKED = {0x01: "name", 0x04: "path", 0x08: "ext", 0x10: "size", 0x20: "created", 0x40: "modified"}
+
+
+def asked(df: DataFrame, mask: int) -> DataFrame:
+    """id and the columns of a mask's bits, lowest first; a scan reads no others. Unknown bits are none's."""
+    return df.select("id", *[column for bit, column in ASKED.items() if mask & bit])
+
+
+def long_line() -> Column:
+    """Size, time (UTC) and path between tabs; - for what is unknown."""
+    time = F.when(F.col("modified") > 0, F.date_format(F.timestamp_seconds("modified"), "yyyy-MM-dd HH:mm:ss"))
+    return F.concat_ws("\t", F.coalesce(F.col("size").cast("string"), F.lit("-")), F.coalesce(time, F.lit("-")), "path")
+
+
+def write_paths(df: DataFrame, path: str, nul: bool = False) -> None:
+    """A path a line, or each path before a NUL, which no path holds."""
+    df.select("path").write.option("lineSep", "\0" if nul else "\n").text(path)
 
 
 def json_lines(df: DataFrame) -> DataFrame:
