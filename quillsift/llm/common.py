@@ -137,6 +137,25 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
         yield batch.slice(at)
 
 
+def groups(batches, names: list[str]):
+    """(key, rows) of each run of equal `names` in batches that are sorted by them; one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    group = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*(column(batch, n).to_pylist() for n in names)))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and keys[lo] != group:
+                yield group, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            group = keys[lo]
+    if held:
+        yield group, pa.Table.from_batches(held)
+
+
 def _sizes(array: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
