@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.plans.query import required_literal
+from quillsift.plans.regexneed import ANY, Need, either, every, literal, need_of
 
 MAX_NEEDLES = 32
 _HAN = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]"
@@ -50,21 +51,53 @@ def write_postings(index: DataFrame, path: str) -> None:
 
 
 def grams_of(word: str) -> list[str]:
-    """Grams that a text with this word must have."""
-    word = re.sub(r"\s+", " ", word.lower())
-    return sorted({word[i : i + 3] for i in range(len(word) - 2) if re.fullmatch(r"[\x20-\x7E]{3}", word[i : i + 3])})
+    """Grams that a text with this word must have: ASCII trigrams, Han pairs, and Han characters that stand alone in it."""
+    word = re.sub(r"[ \t\n\x0b\f\r]+", " ", word.lower())
+    found = {word[i : i + 3] for i in range(len(word) - 2) if re.fullmatch(r"[\x20-\x7E]{3}", word[i : i + 3])}
+    for run in re.findall(r"[\u4e00-\u9fff\u3400-\u4dbf]+", word):
+        found |= {run[i : i + 2] for i in range(len(run) - 1)} or {run}
+    return sorted(found)
+
+
+_REGEX = re.compile(r"(?:regex|re):(.+)", re.S)
+
+
+def need(ways: list[list[str]]) -> Need:
+    """What a text must contain for a search's ways: its words, and what its regular expressions can't match without."""
+    one = lambda w: need_of(m[1]) if (m := _REGEX.fullmatch(w)) else literal(w.lower())
+    return either([every([one(w) for w in way]) for way in ways])
+
+
+def gram_plan(need: Need) -> Need:
+    """A need with its literals told by grams; a literal without any needs nothing."""
+    if need.kind == "literal":
+        return every([literal(g) for g in grams_of(need.text)])
+    if need.kind == "any":
+        return ANY
+    return (every if need.kind == "all" else either)([gram_plan(p) for p in need.parts])
+
+
+def grams_of_plan(plan: Need) -> list[str]:
+    return [plan.text] if plan.kind == "literal" else sorted({g for p in plan.parts for g in grams_of_plan(p)})
+
+
+def plan_column(plan: Need, held: Column) -> Column:
+    if plan.kind == "literal":
+        return F.array_contains(held, plan.text)
+    return reduce(Column.__and__ if plan.kind == "all" else Column.__or__, [plan_column(p, held) for p in plan.parts])
 
 
 def candidates(index: DataFrame, ways: list[list[str]]) -> DataFrame | None:
-    """content_id of texts that have all grams of a way; None if a way has none, when every text must be read."""
-    out = None
-    for words in ways:
-        need = sorted({g for w in words for g in grams_of(w)})
-        if not need:
-            return None
-        hit = index.where(F.col("gram").isin(need)).groupBy("content_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(need)).select("content_id")
-        out = hit if out is None else out.unionByName(hit)
-    return out.distinct() if len(ways) > 1 else out
+    """content_id of the texts that have the grams which a search needs; None if it needs none, when every text is read."""
+    plan = gram_plan(need(ways))
+    if plan.kind == "any":
+        return None
+    rows = index.where(F.col("gram").isin(grams_of_plan(plan)))
+    return rows.groupBy("content_id").agg(F.collect_set("gram").alias("g")).where(plan_column(plan, F.col("g"))).select("content_id")
+
+
+#: Ways that alternatives inside a way (a|b) may make together.
+MAX_WAYS = 16
 
 
 def pattern(text: str) -> list[list[str]]:
@@ -78,6 +111,8 @@ def pattern(text: str) -> list[list[str]]:
     out: list[list[str]] = []
     for way in ways:
         flat: list[list[str]] = [[]]
+        if math.prod(map(len, way)) > MAX_WAYS:
+            raise ValueError("too many alternatives")
         for options in way:
             flat = [[*a, o] for a in flat for o in options]
         out += [w for w in flat if w]
@@ -89,10 +124,10 @@ def pattern(text: str) -> list[list[str]]:
 
 def needle(text: Column, word: str) -> Column:
     """Any case; a regular expression must match inside one line, behind the literal that it needs."""
-    if m := re.match(r"(?:regex|re):(.+)", word):
+    if m := _REGEX.fullmatch(word):
         hit = F.exists(F.split(text, "\n"), lambda line: line.rlike(f"(?i){m[1]}"))
-        literal = required_literal(m[1])
-        return F.contains(F.lower(text), F.lit(literal)) & hit if literal and literal.isascii() else hit
+        first = need_of(m[1]).column(F.lower(text))
+        return hit if first is None else first & hit
     return F.contains(F.lower(text), F.lit(word.lower()))
 
 
@@ -103,7 +138,7 @@ def matches(text: Column, ways: list[list[str]]) -> Column:
 def search(distinct: DataFrame, index: DataFrame | None, query: str) -> DataFrame:
     """Texts that match: the index rules texts out, what is left is read."""
     ways = pattern(query)
-    some = candidates(index, [[w for w in way if not w.startswith(("regex:", "re:"))] for way in ways]) if index is not None else None
+    some = candidates(index, ways) if index is not None else None
     rows = distinct if some is None else distinct.join(some, "content_id", "left_semi")
     return rows.where(matches(F.col("text"), ways))
 

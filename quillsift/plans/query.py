@@ -21,6 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillsift.functions import text as T
+from quillsift.plans.regexneed import need_of
 
 PROGRAMS = ["exe", "com", "lnk", "bat", "cmd", "ps1"]
 #: Sizes by name: half-open ranges of bytes.
@@ -133,61 +134,6 @@ def parse_time(text: str, now: dt.datetime) -> tuple[int | None, int | None] | N
     return {">": (second(s[1]), None), ">=": (second(s[0]), None), "<": (None, second(s[0])), "<=": (None, second(s[1]))}.get(m[1], (second(s[0]), second(s[1])))
 
 
-def required_literal(pattern: str) -> str:
-    """The longest folded text that every match of a regular expression must contain; empty if unsure."""
-    if re.search(r"\(\?|\\[^dDwWsSbB.\\/\[\](){}*+?^$|-]|\\Q", pattern):
-        return ""
-    best, now, depth, i = "", "", 0, 0
-
-    def done():
-        nonlocal best, now
-        best, now = (now if len(now) > len(best) else best), ""
-
-    while i < len(pattern):
-        c = pattern[i]
-        i += 1
-        if c == "|" and depth == 0:
-            return ""
-        if c == "(":
-            depth += 1
-            done()
-            continue
-        if c == ")":
-            depth -= 1
-            done()
-            m = re.match(r"[*+?]|\{[^}]*\}", pattern[i:])
-            i += len(m[0]) if m else 0
-            continue
-        if c == "[":
-            end = pattern.find("]", i + (2 if pattern.startswith("^]", i) else 1))
-            if end < 0:
-                return ""
-            i, lit = end + 1, None
-        elif c == "\\":
-            lit = pattern[i] if i < len(pattern) and not pattern[i].isalnum() else None
-            i += 1
-        elif c in "^$.":
-            lit = None
-        else:
-            lit = c
-        m = re.match(r"([*+?]|\{(\d*)[^}]*\})[+?]?", pattern[i:])
-        if lit is not None and (lit.isascii() or lit.lower() == lit.upper()) and depth == 0:
-            if m:
-                i += len(m[0])
-                least = 1 if m[1] == "+" else int(m[2] or 0) if m[1][0] == "{" else 0
-                if least:
-                    now += lit
-                done()
-            else:
-                now += lit
-        else:
-            if m:
-                i += len(m[0])
-            done()
-    done()
-    return T.fold(best)
-
-
 def typed_path(text: str) -> list[str] | None:
     """The folded parts of an absolute path, typed or pasted whole (in quotes too), the name last; None if the text is
     none. Its spaces are in the names, not between terms."""
@@ -299,8 +245,8 @@ def in_folders(ancestors: list[str], folders: Column) -> Column:
 def _name_hit(term: Term, f: Fields, readings: dict) -> Column:
     if term.kind == "regex":
         hit = f.name.rlike(f"(?iU){term.text}")
-        literal = required_literal(term.text)
-        return (F.contains(f.name_folded, F.lit(literal)) & hit) if literal and literal.isascii() else hit
+        first = need_of(term.text).column(f.name_folded)
+        return hit if first is None else first & hit
     if term.kind == "anchor":
         body = term.text.strip("^$")
         return f.name_folded.rlike(term.text) if body else F.lit(False)
