@@ -17,13 +17,17 @@ def visible(rows: DataFrame, hidden_folders: list[int]) -> DataFrame:
     return rows.where(~hierarchy.within(hidden_folders)) if hidden_folders else rows
 
 
-def search_files(entries: DataFrame, query: str, limit: int = 30, offset: int = 0, sort: str = "match", descending: bool = False, regex: bool = False, now: dt.datetime | None = None, hidden_folders: list[int] = (), readings: dict | None = None, preferred: list[str] = (), low_priority: list[str] = ()) -> DataFrame:
+def search_files(entries: DataFrame, query: str, limit: int = 30, offset: int = 0, sort: str = "match", descending: bool = False, regex: bool = False, now: dt.datetime | None = None, hidden_folders: list[int] = (), readings: DataFrame | None = None, preferred: list[str] = (), low_priority: list[str] = ()) -> DataFrame:
     """Ranked rows of a search text; `limit` is at most 200. Extensions in `preferred` gain points, folders named in
-    `low_priority` and those with a dot in front lose them with all that is in them."""
+    `low_priority` and those with a dot in front lose them with all that is in them. With readings (char, reading,
+    place) Han names are found by their sound."""
     ways = Q.parse(query, regex, now)
-    hits = visible(entries, list(hidden_folders)).where(Q.predicate(ways, Q.fields(), readings))
-    low, exact = arrange.low_priority(low_priority), arrange.exact_name([query])
-    hits = hits.withColumn("score", rank.entry_score(rank.score(ways, readings=readings), low, F.lit(False), list(preferred), exact))
+    rows = Q.heard(visible(entries, list(hidden_folders)), ways, readings)
+    f = Q.fields(sounds="sounds" in rows.columns)
+    low = arrange.low_priority(low_priority)
+    hits = rows.where(Q.predicate(ways, f)).withColumn("score", rank.entry_score(rank.score(ways, f), low, F.lit(False), list(preferred), Q.exact_name(ways, f)))
+    if f.sounds is not None:
+        hits = hits.drop("sounds")
     ordered = rank.by_match(hits) if sort == "match" else rank.by(hits, sort, descending)
     return ordered.offset(offset).limit(min(limit, 200))
 
@@ -38,18 +42,28 @@ def recent_files(entries: DataFrame, limit: int = 30, hidden_folders: list[int]
     return rank.by(visible(entries, list(hidden_folders)).where("NOT is_dir"), "modified", descending=True).limit(limit)
 
 
-def list_folder(entries: DataFrame, folder: int, limit: int = 200) -> DataFrame:
+def list_folder(entries: DataFrame, folder: int, limit: int = 200, hidden_folders: list[int] = ()) -> DataFrame:
     """Folders first, then by name."""
-    return entries.where(hierarchy.child_of(folder)).orderBy(F.desc("is_dir"), "name_folded", "id").limit(limit)
+    return visible(entries, list(hidden_folders)).where(hierarchy.child_of(folder)).orderBy(F.desc("is_dir"), "name_folded", "id").limit(limit)
 
 
-def get_file_info(entries: DataFrame, path: str) -> DataFrame:
+def get_file_info(entries: DataFrame, path: str, hidden_folders: list[int] = ()) -> DataFrame:
     from quillsift.functions.text import fold, folded
 
-    return entries.where(folded(F.col("path")) == fold(path))
-
-
-def search_content(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", limit: int = 20, index: DataFrame | None = None) -> DataFrame:
-    """Documents whose text matches, each text read once; `index` holds postings of the distinct texts."""
-    distinct, which = content.contents(docs, key, text)
-    return which.join(content.search(distinct, index, query).select("content_id"), "content_id").orderBy(key).limit(min(limit, 100))
+    return visible(entries, list(hidden_folders)).where(folded(F.col("path")) == fold(path))
+
+
+def search_content(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", limit: int = 20, index: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
+    """Documents whose text matches, the best first: by the line that has most of the words. Each text is read once;
+    `index` holds postings of the distinct texts, `hidden` (key) the documents that a caller may not see."""
+    seen = docs if hidden is None else docs.join(hidden.select(key), key, "left_anti")
+    distinct, which = content.contents(seen, key, text)
+    found = content.search(distinct, index, query)
+    words = [w for way in content.pattern(query) for w in way if not w.startswith(("regex:", "re:"))]
+    if not words:
+        return which.join(found.select("content_id"), "content_id").orderBy(key).limit(min(limit, 100))
+    best = content.best_lines(content.lines(found, "content_id", "text"), words).select(F.col("doc").alias("content_id"), "hits", "starts", F.col("text").alias("line"))
+    scored = found.select("content_id").join(best, "content_id", "left").fillna(0, ["hits", "starts"])
+    points = content.relevance(scored, len(words), F.lit(0), F.lit(0), F.lit(1000))
+    ranked = scored.withColumn("text", F.coalesce("line", F.lit(""))).withColumn("score", F.when(F.col("hits") > 0, points).otherwise(0)).select("content_id", "score")
+    return which.join(ranked, "content_id").orderBy(F.desc("score"), key).limit(min(limit, 100))

@@ -36,6 +36,11 @@ def either_case(text: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c in LOWER else quote(c) for c in text)
 
 
+def stem(name: Column) -> Column:
+    """A name without its extension."""
+    return F.regexp_replace(name, r"(.)\.[^.]*$", "$1")
+
+
 def word_start_regex(term: str) -> str:
     """Finds a folded term where a word starts: after a separator, at a hump, between letters and digits, next to
     another script."""

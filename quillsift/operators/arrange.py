@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.functions.text import fold
+from quillsift.functions.text import fold, stem
 
 #: Recently opened items that go in front of the others.
 RECENT = 3
@@ -28,8 +28,7 @@ def by_folder(df: DataFrame) -> DataFrame:
 def exact_name(typed: list[str]) -> Column:
     """Named just what was typed; of files the name without its extension counts too."""
     names = [fold(t) for t in typed]
-    stem = F.regexp_replace("name_folded", r"(.)\.[^.]*$", "$1")
-    return F.col("name_folded").isin(names) | (~F.col("is_dir") & stem.isin(names))
+    return F.col("name_folded").isin(names) | (~F.col("is_dir") & stem(F.col("name_folded")).isin(names))
 
 
 def with_history(hits: DataFrame, history: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillsift.functions import text as T
+from quillsift.plans import pinyin
 from quillsift.plans.regexneed import need_of
 
 PROGRAMS = ["exe", "com", "lnk", "bat", "cmd", "ps1"]
@@ -211,28 +212,12 @@ class Fields:
     is_dir: Column
     size: Column
     modified: Column
+    sounds: Column | None = None  # what may stand for each code point of the name, where readings were joined
 
 
-def fields(prefix: str = "") -> Fields:
+def fields(prefix: str = "", sounds: bool = False) -> Fields:
     c = lambda n: F.col(prefix + n)
-    return Fields(c("name"), c("name_folded"), c("folders"), c("ext"), c("is_dir"), c("size"), c("modified"))
-
-
-def pinyin_regex(term: str, readings: dict[str, list[str]]) -> str | None:
-    """Finds Han text of which each character has a reading that starts with the next piece of the term."""
-    if not re.fullmatch(r"(?=.*[a-z])[a-z0-9]{2,63}", term) or not readings:
-        return None
-    by_prefix: dict[str, set[str]] = {}
-    for char, sounds in readings.items():
-        for sound in sounds:
-            for n in range(1, len(sound) + 1):
-                by_prefix.setdefault(sound[:n], set()).add(char)
-
-    def rest(at: int) -> str:
-        ways = [quoted + rest(at + n) for n in range(1, 7) if at + n <= len(term) and (chars := by_prefix.get(term[at : at + n])) and (quoted := f"[{''.join(sorted(chars))}]")]
-        return "(?!)" if at < len(term) and not ways else f"(?:{'|'.join(ways)})" if ways else ""
-
-    return rest(0)
+    return Fields(c("name"), c("name_folded"), c("folders"), c("ext"), c("is_dir"), c("size"), c("modified"), c("sounds") if sounds else None)
 
 
 def in_folders(ancestors: list[str], folders: Column) -> Column:
@@ -242,7 +227,7 @@ def in_folders(ancestors: list[str], folders: Column) -> Column:
     return left == 0
 
 
-def _name_hit(term: Term, f: Fields, readings: dict) -> Column:
+def _name_hit(term: Term, f: Fields) -> Column:
     if term.kind == "regex":
         hit = f.name.rlike(f"(?iU){term.text}")
         first = need_of(term.text).column(f.name_folded)
@@ -257,15 +242,15 @@ def _name_hit(term: Term, f: Fields, readings: dict) -> Column:
     hit = F.contains(f.name_folded, F.lit(term.text))
     if term.negated or term.exact:
         return hit
-    if sounds := pinyin_regex(term.text, readings):
-        hit = hit | f.name_folded.rlike(sounds)
+    if f.sounds is not None and pinyin.is_term(term.text):
+        hit = hit | F.coalesce(pinyin.span(f.sounds, term.text).isNotNull(), F.lit(False))
     if initials := T.initials_regex(term.text):
         hit = hit | (f.ext.isin(PROGRAMS) & f.name.rlike(initials))
     return hit
 
 
-def _term(term: Term, f: Fields, readings: dict) -> Column:
-    hit = _name_hit(term, f, readings)
+def _term(term: Term, f: Fields) -> Column:
+    hit = _name_hit(term, f)
     if term.ancestors:
         hit = hit & in_folders(term.ancestors, f.folders)
     return ~hit if term.negated else hit
@@ -275,7 +260,7 @@ def _in_any_folder(text: str, folders: Column) -> Column:
     return F.exists(folders, lambda x: F.contains(x, F.lit(text)))
 
 
-def _way(way: Way, f: Fields, readings: dict, fallback: bool) -> Column:
+def _way(way: Way, f: Fields, fallback: bool) -> Column:
     parts: list[Column] = []
     if way.extensions:
         parts.append(~f.is_dir & f.ext.isin(sorted(way.extensions)))
@@ -284,19 +269,19 @@ def _way(way: Way, f: Fields, readings: dict, fallback: bool) -> Column:
     words = [t for t in way.positive if t.kind == "word" and not t.ancestors and t.text]
     loose = fallback and (len(way.positive) >= 2 or way.extensions and way.positive) and words
     for t in sorted(way.terms, key=lambda t: (t.kind == "regex", bool(t.ancestors), t.negated, -len(t.text))):
-        hit = _term(t, f, readings)
+        hit = _term(t, f)
         if loose and t in words:  # such a word may be a folder's
             hit = hit | _in_any_folder(t.text, f.folders)
         parts.append(hit)
     if loose and not way.extensions:  # one word at least is the name's own
-        parts.append(reduce(Column.__or__, [_name_hit(t, f, readings) for t in way.positive]))
+        parts.append(reduce(Column.__or__, [_name_hit(t, f) for t in way.positive]))
     return reduce(Column.__and__, parts) if parts else F.lit(True)
 
 
-def predicate(ways: list[Way], f: Fields, readings: dict | None = None, fallback: bool = True) -> Column:
+def predicate(ways: list[Way], f: Fields, fallback: bool = True) -> Column:
     """True where an entry matches; null, which a filter drops too, may stand for false where a value is unknown. So the
     parts stay a plain AND that Catalyst splits and pushes into the scan."""
-    return reduce(Column.__or__, [_way(w, f, readings or {}, fallback) for w in ways])
+    return reduce(Column.__or__, [_way(w, f, fallback) for w in ways])
 
 
 #: Kinds of files by keyword: `pic: beach` or `:pic beach`.
@@ -358,6 +343,21 @@ def with_filters(text: str, filters: dict[str, str], f: Fields, **options) -> Co
     return reduce(Column.__and__, [predicate(parse(x, **options), f) for x in [rest, *found] if x], F.lit(True))
 
 
-def search(entries, text: str, regex_mode: bool = False, now: dt.datetime | None = None, readings: dict | None = None, fallback: bool = True):
-    """The entries that a search text finds."""
-    return entries.where(predicate(parse(text, regex_mode, now), fields(), readings, fallback))
+def exact_name(ways: list[Way], f: Fields) -> Column:
+    """Named just what was typed, with or without the extension: of a text with one way and one plain word to be found."""
+    words = ways[0].positive if len(ways) == 1 else []
+    if len(words) != 1 or words[0].kind != "word" or not words[0].text:
+        return F.lit(False)
+    return (f.name_folded == words[0].text) | (~f.is_dir & (T.stem(f.name_folded) == words[0].text))
+
+
+def heard(entries, ways: list[Way], readings):
+    """entries with what their names' characters may sound like, where a text has a word that may be meant so."""
+    return pinyin.with_sounds(entries, readings) if readings is not None and any(t.kind == "word" and pinyin.is_term(t.text) for w in ways for t in w.positive) else entries
+
+
+def search(entries, text: str, regex_mode: bool = False, now: dt.datetime | None = None, readings=None, fallback: bool = True):
+    """The entries that a search text finds; with readings (char, reading, place) Han names by their sound too."""
+    ways = parse(text, regex_mode, now)
+    rows = heard(entries, ways, readings)
+    return rows.where(predicate(ways, fields(sounds="sounds" in rows.columns), fallback))

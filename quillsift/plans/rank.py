@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import text as T
 
-from .query import PROGRAMS, Fields, Term, Way, _name_hit, fields
+from . import pinyin
+from .query import PROGRAMS, Fields, Term, Way, fields
 
 
 def _place(term: str, f: Fields) -> Column:
@@ -17,35 +18,49 @@ def _place(term: str, f: Fields) -> Column:
     return F.when(F.startswith(f.name_folded, F.lit(term)), 30).when(f.name.rlike(T.word_start_regex(term)), 18).otherwise(4)
 
 
-def _points(term: Term, f: Fields, readings: dict) -> Column:
+def _heard(term: Term, f: Fields) -> Column | None:
+    """Where and how well a word that is not in the name sounds like it."""
+    if f.sounds is None or term.exact or not pinyin.is_term(term.text):
+        return None
+    return F.when(~F.contains(f.name_folded, F.lit(term.text)), pinyin.graded(f.name, f.sounds, term.text))
+
+
+def _points(term: Term, f: Fields) -> tuple[Column, Column]:
+    """Points of a term, and the bytes of the name that it covers."""
+    none, size = F.lit(0), F.lit(len(term.text.encode()))
     if term.kind in ("regex", "anchor"):
-        return F.lit(20)
+        return F.lit(20), none
     if term.kind == "glob":
-        return F.lit(10)
+        return F.lit(10), F.lit(len("".join(c for c in term.text if c not in "*?").encode()))
     if not term.text:
-        return F.lit(0)
+        return none, none
     inside = F.contains(f.name_folded, F.lit(term.text))
-    initials = T.initials_regex(term.text)
-    program = f.ext.isin(PROGRAMS) & f.name.rlike(initials) if initials else F.lit(False)
-    return F.when(inside, _place(term.text, f)).when(_name_hit(term, f, readings), F.when(program, 12).otherwise(16)).otherwise(3)
+    points, covered = F.when(inside, _place(term.text, f)), F.when(inside, size)
+    if (heard := _heard(term, f)) is not None:
+        points, covered = points.when(heard.isNotNull(), heard["points"]), covered.when(heard.isNotNull(), heard["bytes"])
+    if initials := T.initials_regex(term.text):
+        program = ~f.is_dir & F.coalesce(f.ext.isin(PROGRAMS), F.lit(False)) & f.name.rlike(initials)
+        points, covered = points.when(program, 12), covered.when(program, size)
+    return points.otherwise(3), covered.otherwise(0)
+
 
+def _whole(term: Term, f: Fields) -> Column:
+    """60 for a name that is the word, 45 for one that is with an extension, 40 for one that sounds like it throughout."""
+    stem = F.when(f.is_dir, f.name_folded).otherwise(T.stem(f.name_folded))
+    out = F.when(f.name_folded == term.text, 60).when(stem == term.text, 45)
+    if (heard := _heard(term, f)) is not None:
+        out = out.when((heard["start"] == 0) & (heard["bytes"] >= F.octet_length(stem)), 40)
+    return out.otherwise(0)
 
 
-def score(ways: list[Way], f: Fields | None = None, readings: dict | None = None) -> Column:
+def score(ways: list[Way], f: Fields | None = None) -> Column:
     """Points of the best way: places of the terms, whole names, and how much of the name the terms cover (bytes)."""
-    f, readings, each = f or fields(), readings or {}, []
+    f, each = f or fields(), []
     for way in ways:
-        total = reduce(Column.__add__, [_points(t, f, readings) for t in way.positive], F.lit(0))
-        words = [t for t in way.positive if t.kind == "word" and t.text]
-        if len(way.positive) == 1 and words and not words[0].ancestors:
-            stem = F.regexp_replace(f.name_folded, r"(.)\.[^.]*$", "$1")
-            total = total + F.when(f.name_folded == words[0].text, 60).when(stem == words[0].text, 45).otherwise(0)
-        covered = F.lit(0)
-        for t in way.positive:
-            if t.kind == "glob":
-                covered = covered + len("".join(c for c in t.text if c not in "*?").encode())
-            elif t in words:
-                covered = covered + F.when(F.contains(f.name_folded, F.lit(t.text)), len(t.text.encode())).otherwise(0)
+        parts = [_points(t, f) for t in way.positive]
+        total, covered = (reduce(Column.__add__, [p[i] for p in parts], F.lit(0)) for i in (0, 1))
+        if len(way.positive) == 1 and way.positive[0].kind == "word" and way.positive[0].text and not way.positive[0].ancestors:
+            total = total + _whole(way.positive[0], f)
         length = F.greatest(F.octet_length(f.name_folded), F.lit(1))
         each.append((total + F.floor(F.least(covered, length) * 25 / length)).cast("int"))
     best = F.greatest(*each) if len(each) > 1 else each[0]
@@ -53,10 +68,10 @@ def score(ways: list[Way], f: Fields | None = None, readings: dict | None = None
 
 
 def entry_score(points: Column, low: Column, hidden: Column, preferred: list[str], exact: Column) -> Column:
-    """A name's points as its entry ranks: preferred types gain 12, hidden entries lose 15 and those of low priority 35,
-    unless they are named just what was typed; each level of depth takes one off, 12 at most."""
+    """A name's points as its entry ranks: hidden entries lose 15 and those of low priority 35; files of preferred types
+    gain 12, and the 35 back where they are named just what was typed; each level of depth takes one off, 12 at most."""
     liked = ~F.col("is_dir") & F.coalesce(F.col("ext").isin(preferred), F.lit(False))
-    place = F.when(low & ~exact, -35).otherwise(0) - F.when(hidden, 15).otherwise(0) + F.when(liked, 12).otherwise(0)
+    place = F.when(low & ~(liked & exact), -35).otherwise(0) - F.when(hidden, 15).otherwise(0) + F.when(liked, 12).otherwise(0)
     return (points + place - F.least("depth", F.lit(12))).cast("int")
 
 

@@ -116,5 +116,5 @@ def name_score_full(spark, sf_dir):
     """Places, coverage, priority, hidden folders, preferred types and depth in one score."""
     hits = Q.search(from_orders(spark, sf_dir), "urgent").withColumn("modified", F.coalesce("modified", F.lit(0)))
     low, hidden = arrange.low_priority(["nation_3", "africa"]), hierarchy.under([25])
-    whole = rank.entry_score(rank.score(Q.parse("urgent")), low, hidden, ["pdf"], arrange.exact_name(["urgent"]))
+    whole = rank.entry_score(rank.score(Q.parse("urgent")), low, hidden, ["pdf"], Q.exact_name(Q.parse("urgent"), Q.fields()))
     return rank.by_match(hits.withColumn("score", whole)).limit(500).select("id", "name", "score")
