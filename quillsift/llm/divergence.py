@@ -25,22 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, column, groups, prepare, released, slices, written
+from .shingles import mix
 
 #: Documents of a language that a kept term occurs in, rank of the last term told of a group, the smoothing count, and the scale of p.
 LEAST, TOP, EXTRA, SCALE = 30, 50, 5, 1_000_000_000
 #: Bytes of the first level's prefixes; each further level has twice as many.
-FIRST = 2
+FIRST = 4
 #: Bits for each open prefix in a level's bitmap, and bits at most.
 BITS_EACH, MAX_BITS = 16, 1 << 27
 #: Entries that a task counts before it hands them on.
-HELD = 200_000
+HELD = 500_000
 #: Terms of a language in a block of the comparison, and sources on either side of it.
-BLOCK_TERMS, BLOCK_SOURCES = 4096, 256
+BLOCK_TERMS, BLOCK_SOURCES = 512, 256
 
 _BREAKS = bytes(32 if i <= 0x40 or 0x5B <= i <= 0x60 or 0x7B <= i <= 0x7F else i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 
@@ -55,7 +57,8 @@ def _packed(values: list[bytes]) -> bytes:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to their distinct terms, and how often each occurs."""
+    """Texts to their distinct terms, how often each occurs, and a number that deals rows of one group evenly."""
+    row = 0
     for batch in batches:
         for part in slices(batch, "text"):
             names, times = [], []
@@ -63,76 +66,126 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = Counter(terms(text))
                 names.append(_packed(list(found)))
                 times.append(list(found.values()))
-            yield pa.record_batch([column(part, "lang"), column(part, "source"), pa.array(names, pa.binary()), pa.array(times, pa.list_(pa.int32()))], ["lang", "source", "terms", "times"])
+            salts = (np.arange(row, row + part.num_rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            row += part.num_rows
+            yield pa.record_batch([column(part, "lang"), column(part, "source"), pa.array(names, pa.binary()), pa.array(times, pa.list_(pa.int32())), pa.array(salts)], ["lang", "source", "terms", "times", "salt"])
 
 
-class Bits:
-    """A bitmap that may hold (lang, prefix)."""
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.most = bits, len(bits) * 8
 
-    def __contains__(self, key: tuple[str, bytes]) -> bool:
-        at = xxhash.xxh3_64_intdigest(key[1], seed=_seed(key[0])) % self.most
-        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+def _lengths(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value's bytes begin in the array's data, and how many there are."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return offsets[:-1], np.diff(offsets)
 
 
-def _seed(lang: str) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode())
+def _hashes(values: pa.Array, seeds: np.ndarray, most: int | None = None) -> np.ndarray:
+    """A hash of each value's first `most` bytes (of all), none of them empty; for bitmaps alone, where a clash drops nothing."""
+    start, n = _lengths(values)
+    if not len(n):
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(values.buffers()[2], np.uint8)[start[0] : start[-1] + n[-1]]
+    place = np.arange(len(data)) - np.repeat(start - start[0], n)
+    powers = np.cumprod(np.full(int(n.max()), _FACTOR, np.uint64))
+    letters = (data.astype(np.uint64) + np.uint64(1)) * powers[place]
+    if most is not None:
+        letters[place >= most] = 0
+    return mix(np.add.reduceat(letters, start - start[0]) + seeds)
 
 
-class _Open(dict):
-    """Answers of a bitmap for one language that a task remembers."""
+def _seeds(langs: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in langs], np.uint64)
 
-    def __init__(self, bits: Bits, lang: str):
-        self.bits, self.lang = bits, lang
 
-    def __missing__(self, prefix: bytes) -> bool:
-        if len(self) >= HELD:
-            self.clear()
-        self[prefix] = found = (self.lang, prefix) in self.bits
-        return found
+def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % np.uint64(len(bits) * 8)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
+
+
+class _Flat:
+    """A batch's terms one after another, with the number of the row that each is in."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        lists = pc.ascii_split_whitespace(column(batch, "terms").cast(pa.string()))
+        self.terms, self.row = lists.flatten().cast(pa.binary()), pc.list_parent_indices(lists).to_numpy()
+        self.langs = column(batch, "lang").dictionary_encode()
+        self.lang = self.langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.seeds = _seeds(self.langs.dictionary.to_pylist())[self.lang]
+        self.keep(_lengths(self.terms)[1] > 0)  # a row without terms has an empty one
+
+    def keep(self, mask: np.ndarray) -> None:
+        self.terms, self.row = self.terms.filter(pa.array(mask)), self.row[mask]
+
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        return _hashes(self.terms, self.seeds[self.row], most)
+
+    def of(self, values: pa.Array, rows: np.ndarray) -> pa.Array:
+        """The value of each row given, as text."""
+        return values.take(pa.array(rows)).cast(pa.string())
+
+
+class _Sums:
+    """Counts by key that a task adds up, and hands on where there are many keys."""
+
+    def __init__(self, keys: list[str], value: str):
+        self.keys, self.value, self.parts, self.n = keys, value, [], 0
+
+    def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        self.parts.append(table)
+        self.n += table.num_rows
+        if self.n >= HELD:
+            total = self._total()
+            self.parts, self.n = [total], total.num_rows
+            if self.n >= HELD // 2:
+                yield from self.rest()
+
+    def _total(self) -> pa.Table:
+        made = pa.concat_tables(self.parts).group_by(self.keys).aggregate([(self.value, "sum")])
+        return made.select([*self.keys, f"{self.value}_sum"]).rename_columns([*self.keys, self.value])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield from self._total().to_batches(max_chunksize=1 << 16)
+        self.parts, self.n = [], 0
 
 
 def _level(length: int, bits):
     """Documents of each prefix of `length` bytes (open) and of each term that ends within it and not within half of it."""
     half = length // 2 if bits is not None else 0
 
-    def out(counts: Counter) -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.record_batch(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.bool_()), pa.array(list(counts.values()), pa.int64())],
-            ["lang", "prefix", "open", "docs"],
-        )
+    def counted(flat: _Flat, terms: pa.Array, rows: np.ndarray, more: bool) -> pa.Table:
+        each = pa.table({"row": pa.array(rows), "prefix": terms})
+        if more:  # several terms of a document may share a prefix
+            each = each.group_by(["row", "prefix"]).aggregate([])
+        codes = pa.array(flat.lang[each["row"].to_numpy()])
+        made = pa.table({"code": codes, "prefix": each["prefix"].combine_chunks()}).group_by(["code", "prefix"]).aggregate([([], "count_all")])
+        n = made.num_rows
+        langs = flat.langs.dictionary.take(made["code"].combine_chunks()).cast(pa.string())
+        return pa.table({"lang": langs, "prefix": made["prefix"], "open": pa.array(np.full(n, more)), "docs": made["count_all"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = Counter(), {}
+        sums = _Sums(["lang", "prefix", "open"], "docs")
         for batch in batches:
-            for lang, packed in zip(column(batch, "lang").to_pylist(), column(batch, "terms").to_pylist()):
-                found = packed.split()
+            for part in slices(batch, "terms"):
+                flat = _Flat(part)
                 if bits is not None:
-                    if lang not in known:
-                        if len(known) > 1000:
-                            known.clear()
-                        known[lang] = _Open(bits.value, lang)
-                    held = known[lang]
-                    found = [t for t in found if len(t) > half and held[t[:half]]]
-                whole = [(lang, t, False) for t in found if len(t) <= length]
-                counts.update(whole)
-                if len(whole) < len(found):
-                    counts.update((lang, p, True) for p in {t[:length] for t in found if len(t) > length})
-                if len(counts) >= HELD:
-                    yield out(counts)
-                    counts.clear()
-        yield out(counts)
+                    flat.keep(_lengths(flat.terms)[1] > half)
+                    flat.keep(_held(bits.value, flat.hashes(half)))
+                longer = _lengths(flat.terms)[1] > length
+                yield from sums.add(counted(flat, flat.terms.filter(pa.array(~longer)), flat.row[~longer], False))
+                yield from sums.add(counted(flat, pc.binary_slice(flat.terms.filter(pa.array(longer)), 0, length), flat.row[longer], True))
+        yield from sums.rest()
 
     return released(run)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = zip(column(batch, "lang").to_pylist(), column(batch, "prefix").to_pylist())
-        yield pa.record_batch([pa.array([xxhash.xxh3_64_intdigest(p, seed=_seed(lang)) % MAX_BITS for lang, p in keys], pa.int64())], ["at"])
+        langs = column(batch, "lang").dictionary_encode()
+        seeds = _seeds(langs.dictionary.to_pylist())[langs.indices.to_numpy(zero_copy_only=False)]
+        at = _hashes(column(batch, "prefix"), seeds) % np.uint64(MAX_BITS)
+        yield pa.record_batch([pa.array(at.astype(np.int64))], ["at"])
 
 
 def _bitmap(prefixes: DataFrame, n: int) -> np.ndarray:
@@ -147,10 +200,10 @@ def _bitmap(prefixes: DataFrame, n: int) -> np.ndarray:
 
 
 def counted_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms, times), a row for each row of docs."""
+    """(lang, source, terms, times, salt), a row for each row of docs."""
     prepare(docs.sparkSession)
     blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    rows = docs.select(*blank, "text").mapInArrow(released(_counted), "lang string, source string, terms binary, times array<int>")
+    rows = docs.select(*blank, "text").mapInArrow(released(_counted), "lang string, source string, terms binary, times array<int>, salt long")
     return written(rows, "terms")
 
 
@@ -164,7 +217,7 @@ def kept_terms(held: DataFrame, least: int = LEAST) -> DataFrame:
         n = level.where("open").count()
         if not n:
             break
-        bits = spark.sparkContext.broadcast(Bits(_bitmap(level.where("open"), n)))
+        bits = spark.sparkContext.broadcast(_bitmap(level.where("open"), n))
         length *= 2
     out = kept[0]
     for more in kept[1:]:
@@ -175,36 +228,34 @@ def kept_terms(held: DataFrame, least: int = LEAST) -> DataFrame:
 def _occurrences(bits):
     """Occurrences of the terms that the bitmap may hold, by (lang, source)."""
 
-    def out(counts: Counter) -> pa.RecordBatch:
-        keys = list(counts)
-        texts = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)]
-        return pa.record_batch([*texts, pa.array([k[2] for k in keys], pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "source", "term", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = Counter(), {}
+        sums = _Sums(["lang", "source", "term"], "n")
         for batch in batches:
-            for lang, source, packed, times in zip(*(column(batch, c).to_pylist() for c in ("lang", "source", "terms", "times"))):
-                if lang not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[lang] = _Open(bits.value, lang)
-                may = known[lang]
-                for t, n in zip(packed.split(), times):
-                    if may[t]:
-                        counts[lang, source, t] += n
-                if len(counts) >= HELD:
-                    yield out(counts)
-                    counts.clear()
-        yield out(counts)
+            for part in slices(batch, "terms"):
+                flat = _Flat(part)
+                times = column(part, "times").flatten().to_numpy()
+                held = _held(bits.value, flat.hashes())
+                flat.keep(held)
+                sources = column(part, "source").dictionary_encode()
+                group = flat.lang * part.num_rows + sources.indices.to_numpy(zero_copy_only=False)
+                made = pa.table({"group": pa.array(group[flat.row]), "term": flat.terms, "n": pa.array(times[held].astype(np.int64))})
+                made = made.group_by(["group", "term"]).aggregate([("n", "sum")])
+                code = made["group"].to_numpy()
+                langs = flat.langs.dictionary.take(pa.array(code // part.num_rows)).cast(pa.string())
+                named = sources.dictionary.take(pa.array(code % part.num_rows)).cast(pa.string())
+                yield from sums.add(pa.table({"lang": langs, "source": named, "term": made["term"], "n": made["n_sum"]}))
+        yield from sums.rest()
 
     return released(run)
 
 
 def occurrences(held: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n) of the kept terms that occur in a group."""
-    bits = held.sparkSession.sparkContext.broadcast(Bits(_bitmap(kept.select("lang", F.col("term").cast("binary").alias("prefix")), kept.count())))
-    rows = held.mapInArrow(_occurrences(bits), "lang string, source string, term string, n long")
-    rows = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    """(lang, source, term, n) of the kept terms that occur in a group. Rows are dealt by ranges of their groups, so that a
+    task adds up few groups, and a large group has many tasks."""
+    bits = held.sparkSession.sparkContext.broadcast(_bitmap(kept.select("lang", F.col("term").cast("binary").alias("prefix")), kept.count()))
+    dealt = held.repartitionByRange("lang", "source", "salt").drop("salt")
+    rows = dealt.mapInArrow(_occurrences(bits), "lang string, source string, term binary, n long")
+    rows = rows.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"))
     return written(rows.join(kept, ["lang", "term"]), "occurrences")
 
 
