@@ -12,6 +12,7 @@ from quillsift.operators.textindex import TextIndex
 from quillsift.queries import register, table
 from quillsift.sources.stored import once, session_folder
 from quillsift.streaming.changelog import ChangeLog, counted
+from quillsift.streaming.notices import Budget, budgeted_table
 
 
 def text_index(spark: SparkSession, sf_dir: str, name: str, key: str) -> TextIndex:
@@ -126,3 +127,28 @@ def changed_since(spark, sf_dir):
     for n in range(7):
         log.follow(spark.read.parquet(path).where(F.col("batch") == n), n)
     return counted(log, list(range(-1, 7)))
+
+
+# ---- a journal's budget
+
+_BUDGET_SQL = """
+WITH RECURSIVE e AS (SELECT event_type AS kind, event_id AS seq, ts, coalesce(value, 0) >= 20 AS notable, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+h0 AS (SELECT kind, ts, min(n) AS n FROM e GROUP BY kind, ts),
+hn AS MATERIALIZED (SELECT a.kind, a.n, b.n AS next FROM e a ASOF JOIN h0 b ON a.kind = b.kind AND a.ts + INTERVAL 1 HOUR <= b.ts),
+hour(kind, n) AS (SELECT kind, n FROM e WHERE n = 1 UNION ALL SELECT hour.kind, hn.next FROM hour JOIN hn ON hn.kind = hour.kind AND hn.n = hour.n),
+t AS (SELECT e.*, hour.n AS hour FROM e ASOF JOIN hour ON e.kind = hour.kind AND e.n >= hour.n),
+a AS (SELECT kind, n FROM (SELECT *, row_number() OVER (PARTITION BY kind, hour ORDER BY n) AS i FROM t WHERE notable) WHERE i <= 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n) AS i FROM e WHERE NOT notable),
+o0 AS (SELECT kind, ts, min(i) AS i FROM o GROUP BY kind, ts),
+nx AS MATERIALIZED (SELECT a.kind, a.i, b.i AS next FROM o a ASOF JOIN o0 b ON a.kind = b.kind AND a.ts + INTERVAL 30 MINUTE <= b.ts),
+w(kind, i) AS (SELECT kind, i FROM o WHERE i = 5 UNION ALL SELECT w.kind, nx.next FROM w JOIN nx ON nx.kind = w.kind AND nx.i = w.i),
+k AS (SELECT kind, n FROM a UNION ALL SELECT kind, n FROM o WHERE i < 5 UNION ALL SELECT o.kind, o.n FROM o JOIN w ON w.kind = o.kind AND w.i = o.i)
+SELECT kind, seq, ts, notable, n - coalesce(lag(n) OVER (PARTITION BY kind ORDER BY n), 0) - 1 AS skipped FROM k JOIN e USING (kind, n)
+"""
+
+
+@register("journal_budget", _BUDGET_SQL)
+def journal_budget(spark, sf_dir):
+    """Of each kind of event what a journal takes, and how many were left out before it."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), "ts", F.coalesce(F.col("value") >= 20, F.lit(False)).alias("notable"))
+    return budgeted_table(rows, Budget(notable_an_hour=2, every_ms=1_800_000))

@@ -11,6 +11,7 @@ readings suffice, is part of the answer.
 from __future__ import annotations
 
 import re
+from itertools import islice, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,3 +97,16 @@ def graded(name: Column, sounds: Column, term: str) -> Column:
         return F.when(at.isNotNull(), F.struct(start.alias("start"), length.alias("length"), F.octet_length(F.substring(name, start + 1, length)).alias("bytes"), points.alias("points")))
 
     return F.when(sounds.isNotNull(), F.element_at(F.transform(F.array(both), told), 1))
+
+
+#: Readings of a whole text that are searched for where the text itself is found nowhere.
+MOST_READINGS = 8
+
+
+def spoken(text: str, known: dict[str, list[str]]) -> list[str]:
+    """A word with its Han characters as they sound: the most common readings first, the last character's changing fastest,
+    MOST_READINGS at most. Empty for a word without Han."""
+    pieces = [known.get(c, [c])[:MOST] for c in text]
+    if all(c not in known for c in text):
+        return []
+    return ["".join(way) for way in islice(product(*pieces), MOST_READINGS)]

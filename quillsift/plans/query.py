@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import islice, product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -361,3 +362,25 @@ def search(entries, text: str, regex_mode: bool = False, now: dt.datetime | None
     ways = parse(text, regex_mode, now)
     rows = heard(entries, ways, readings)
     return rows.where(predicate(ways, fields(sounds="sounds" in rows.columns), fallback))
+
+
+def homophones(text: str, readings) -> list[list[Way]]:
+    """Texts that sound like one: its Han words read as pinyin, pinyin.MOST_READINGS combinations at most. A text with
+    several ways or a regular expression has none. Only the readings of the typed characters are fetched."""
+    ways = parse(text)
+    if len(ways) != 1 or any(t.kind == "regex" for t in ways[0].terms):
+        return []
+    words = [i for i, t in enumerate(ways[0].terms) if t.kind == "word" and not t.negated and re.search("[\u4e00-\u9fff]", t.text)]
+    if not words:
+        return []
+    typed = sorted({c for i in words for c in ways[0].terms[i].text if not c.isascii()})
+    known: dict[str, list[str]] = {}
+    for r in readings.where(F.col("char").isin(typed)).orderBy("char", "place").collect():  # those of a typed text
+        known.setdefault(r.char, []).append(r.reading)
+    out = []
+    for sounds in islice(product(*(pinyin.spoken(ways[0].terms[i].text, known) for i in words)), pinyin.MOST_READINGS):
+        terms = list(ways[0].terms)
+        for i, sound in zip(words, sounds):
+            terms[i] = replace(terms[i], text=sound, exact=False)
+        out.append([replace(ways[0], terms=terms)])
+    return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillsift.functions import text as T
 
 from . import pinyin
+from . import query as Q
 from .query import PROGRAMS, Fields, Term, Way, fields
 
 
@@ -111,3 +112,33 @@ def within_bytes(df: DataFrame, column: Column, budget: int, by: str = "id") ->
     starts = sums.select("_piece", before.alias("_before")).where(F.col("_before") < budget)
     inside = F.sum("_cost").over(Window.partitionBy("_piece").orderBy(by))
     return rows.join(starts, "_piece").withColumn("_spent", F.col("_before") + inside).where(F.col("_spent") <= budget).drop("_piece", "_cost", "_before")
+
+
+def scored(entries: DataFrame, text: str, readings: DataFrame | None = None) -> DataFrame:
+    """What a text finds with its score, and `approximate`: false. Where it finds nothing at all, and only then, its Han words
+    are read as they sound, and each entry has the best score of the readings that find it, as approximate."""
+    ways = Q.parse(text)
+
+    def found(some: list[Way]) -> DataFrame:
+        rows = Q.heard(entries, some, readings)
+        f = fields(sounds="sounds" in rows.columns)
+        hits = rows.where(Q.predicate(some, f)).withColumn("score", score(some, f))
+        return hits.select(*entries.columns, "score")
+
+    first = found(ways)
+    if readings is None or not first.isEmpty():
+        return first.withColumn("approximate", F.lit(False))
+    second = Q.homophones(text, readings)
+    if not second:
+        return first.withColumn("approximate", F.lit(False))
+    rows = reduce(DataFrame.unionByName, [found(w) for w in second])
+    best = rows.groupBy("id").agg(F.max("score").alias("score"))
+    return entries.join(best, "id").withColumn("approximate", F.lit(True)).select(*entries.columns, "score", "approximate")
+
+
+def answer(df: DataFrame, after: int | None, size: int) -> DataFrame:
+    """A page of rows by id with `next_cursor`, the id to go on after, and `truncated`, both the same on all rows of the page:
+    one row more is read than is given."""
+    more = page(df, after, size + 1).withColumn("_n", F.row_number().over(Window.orderBy("id")))  # size + 1 rows at most
+    told = more.withColumn("truncated", F.max("_n").over(Window.partitionBy()) > size).where(F.col("_n") <= size)
+    return told.withColumn("next_cursor", F.when(F.col("truncated"), F.max("id").over(Window.partitionBy()))).drop("_n")

@@ -31,15 +31,20 @@ def readings_table(spark):
     return spark.createDataFrame([(c, r, i + 1) for c, rs in READINGS.items() for i, r in enumerate(rs.split())], "char string, reading string, place int")
 
 
+def sounding(spark, sf_dir):
+    """Parts as files that are named by their key."""
+    names = F.get(F.array(*[F.lit(n) for n in SOUNDING]), F.col("p_partkey") % len(SOUNDING))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), names.alias("name"), F.lit(False).alias("is_dir"), F.array().cast("array<string>").alias("folders"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("modified"))
+    return rows.withColumns({"name_folded": folded(F.col("name")), "ext": extension(F.col("name"), F.col("is_dir"))})
+
+
 @register("name_score_pinyin", _PINYIN_SQL)
 def name_score_pinyin(spark, sf_dir):
-    names = F.get(F.array(*[F.lit(n) for n in SOUNDING]), F.col("p_partkey") % len(SOUNDING))
-    rows = table(spark, sf_dir, "part").select("p_partkey", names.alias("name"), F.lit(False).alias("is_dir"), F.array().cast("array<string>").alias("folders"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("modified"))
-    rows = rows.withColumns({"name_folded": folded(F.col("name")), "ext": extension(F.col("name"), F.col("is_dir"))})
+    rows = sounding(spark, sf_dir)
     out, known = None, readings_table(spark)
     for term in ("bg", "xie", "lvse", "luse", "chongqing", "yinh", "bg2"):
         hits = Q.search(rows, term, readings=known)
-        one = hits.select("p_partkey", F.lit(term).alias("term"), rank.score(Q.parse(term), Q.fields(sounds=True)).alias("score"))
+        one = hits.select(F.col("id").alias("p_partkey"), F.lit(term).alias("term"), rank.score(Q.parse(term), Q.fields(sounds=True)).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -184,3 +189,34 @@ def path_leads(spark, sf_dir):
         one = scope.path_leads(folders, typed, history, F.get("folders", F.lit(0)) == "large", 1_600_000_000).select(F.lit(typed).alias("typed"), "id")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_HOMOPHONE_SQL = """
+WITH w(i, typed, approximate, score) AS (VALUES
+  (0, '报告', FALSE, 30 + 45 + 15), (1, '报告', FALSE, 4 + 8), (2, '报告', FALSE, 18 + 13), (3, '报告', FALSE, 30 + 60 + 25), (10, '报告', FALSE, 30 + 13), (11, '报告', FALSE, 18 + 12),
+  (0, '抱高', TRUE, 26 + 40 + 15), (1, '抱高', TRUE, 4 + 8), (2, '抱高', TRUE, 16 + 13), (3, '抱高', TRUE, 26 + 40 + 25), (10, '抱高', TRUE, 26 + 13), (11, '抱高', TRUE, 16 + 12),
+  (7, '虫青', TRUE, 26 - 12 + 40 + 15), (8, '虫青', TRUE, 16 - 12 + 12))
+SELECT p_partkey, w.typed, w.approximate, w.score FROM part JOIN w ON p_partkey % 12 = w.i
+"""
+
+
+@register("homophone_fallback", _HOMOPHONE_SQL)
+def homophone_fallback(spark, sf_dir):
+    """A text that is found as it is, and two that are only found as they sound."""
+    more = spark.createDataFrame([("抱", "bao", 1), ("高", "gao", 1), ("虫", "chong", 1), ("青", "qing", 1)], "char string, reading string, place int")
+    known, out = readings_table(spark).unionByName(more), None
+    for typed in ("报告", "抱高", "虫青", "无此"):
+        one = rank.scored(sounding(spark, sf_dir), typed, known).select(F.col("id").alias("p_partkey"), F.lit(typed).alias("typed"), "approximate", "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register(
+    "paged_answer",
+    f"""{ENTRIES_SQL}, h AS (SELECT id, name, row_number() OVER (ORDER BY id) AS n FROM entries WHERE contains(name_folded, 'urgent') AND id > 1000),
+t AS (SELECT count(*) AS n, max(id) FILTER (WHERE n <= 25) AS cursor FROM h)
+SELECT h.id, h.name, CASE WHEN t.n > 25 THEN t.cursor END AS next_cursor, t.n > 25 AS truncated FROM h, t WHERE h.n <= 25""",
+)
+def paged_answer(spark, sf_dir):
+    """A page that goes on after a cursor, and says whether there is more."""
+    return rank.answer(Q.search(from_orders(spark, sf_dir), "urgent"), 1000, 25).select("id", "name", "next_cursor", "truncated")

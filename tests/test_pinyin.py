@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillsift import api
 from quillsift.plans import pinyin
 from quillsift.plans import query as Q
+from quillsift.plans import rank
 from quillsift.sources.entries import derived, with_paths
 
 READINGS = {"水": ["shui"], "果": ["guo", "luo"], "绿": ["lv", "lu"], "山": ["shan"], "重": ["zhong", "chong", "tong", "zzz"], "啊": ["a"], "欧": ["ou"]}
@@ -66,3 +67,26 @@ def test_search_by_sound(spark):
     assert "sounds" not in found.columns
     assert [r.name for r in api.search_files(entries, "!shuig txt", readings=readings(spark), sort="name_folded").collect()] == ["water.txt", "啊.txt", "水果.txt"]
     assert Q.search(entries, "sg").count() == 0 and Q.search(entries, '"sg"', readings=readings(spark)).count() == 0
+
+
+def test_words_as_they_sound():
+    known = {"重": ["zhong", "chong", "tong"], "行": ["xing", "hang", "heng"], "山": ["shan"]}
+    assert pinyin.spoken("重山", known) == ["zhongshan", "chongshan", "tongshan"] and pinyin.spoken("a1", known) == []
+    assert pinyin.spoken("x行重", known) == ["x" + a + b for a in known["行"] for b in known["重"]][:8] and len(pinyin.spoken("重行重行", known)) == 8
+
+
+def test_sounds_are_only_read_where_nothing_is_found(spark, monkeypatch):
+    nodes = [(1, None, "D:", True)] + [(10 + i, 1, n, False) for i, n in enumerate(["水果.txt", "山.txt", "shuiluo.md"])]
+    entries = derived(with_paths(spark.createDataFrame([(*r, 1, 1, 1) for r in nodes], "id long, parent_id long, name string, is_dir boolean, size long, modified long, created long")))
+    rows = spark.createDataFrame([*((c, r, i + 1) for c, rs in READINGS.items() for i, r in enumerate(rs)), ("睡", "shui", 1), ("过", "guo", 1), ("过", "luo", 2)], "char string, reading string, place int")
+    got = rank.scored(entries, "睡过", rows).collect()
+    assert sorted((r.name, r.approximate, r.score) for r in got) == [("shuiluo.md", True, 30 + 45 + 17), ("水果.txt", True, 26 + 40 + 15)]
+    assert rank.scored(entries, "睡过 | 山", rows).count() == 1 and rank.scored(entries, "re:睡", rows).count() == 0 and rank.scored(entries, "!山 睡x", rows).count() == 0
+    monkeypatch.setattr(Q, "homophones", lambda *a: pytest.fail("the second stage was made"))
+    assert [(r.name, r.approximate) for r in rank.scored(entries, "水果", rows).collect()] == [("水果.txt", False)]
+
+
+def test_pages_say_whether_there_is_more(spark):
+    rows = spark.range(1, 8)
+    told = lambda after, size: [(r.id, r.next_cursor, r.truncated) for r in rank.answer(rows, after, size).collect()]
+    assert told(None, 3) == [(1, 3, True), (2, 3, True), (3, 3, True)] and told(3, 4) == [(i, None, False) for i in (4, 5, 6, 7)] and told(7, 2) == []
