@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from quillsift.operators import arrange, content, hierarchy, refine, relate
 from quillsift.plans import query as Q
-from quillsift.queries import register, table
+from quillsift.queries import entries_of, register, table
 from quillsift.sources import export
-from quillsift.sources.entries import ENTRIES_SQL, from_orders
+from quillsift.sources.entries import ENTRIES_SQL
 
 _LINES = "l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)"
 
@@ -54,12 +54,12 @@ def content_newest(spark, sf_dir):
 
 @register("asked_columns", f"{ENTRIES_SQL} SELECT id, name, ext, size, modified FROM entries WHERE contains(name_folded, 'urgent')")
 def asked_columns(spark, sf_dir):
-    return export.asked(Q.search(from_orders(spark, sf_dir), "urgent"), 0x01 | 0x08 | 0x10 | 0x40)
+    return export.asked(Q.search(entries_of(spark, sf_dir), "urgent"), 0x01 | 0x08 | 0x10 | 0x40)
 
 
 @register("long_lines", f"{ENTRIES_SQL} SELECT id, coalesce(size::VARCHAR, '-') || chr(9) || CASE WHEN modified > 0 THEN strftime(make_timestamp(modified * 1000000), '%Y-%m-%d %H:%M:%S') ELSE '-' END || chr(9) || path AS line FROM entries WHERE contains(name_folded, 'urgent')")
 def long_lines(spark, sf_dir):
-    return Q.search(from_orders(spark, sf_dir), "urgent").select("id", export.long_line().alias("line"))
+    return Q.search(entries_of(spark, sf_dir), "urgent").select("id", export.long_line().alias("line"))
 
 
 @register(
@@ -69,7 +69,7 @@ SELECT CASE WHEN kind AND hid THEN 'both' WHEN kind THEN 'type' WHEN hid THEN 'h
 )
 def left_out_counts(spark, sf_dir):
     reason = hierarchy.left_out(["txt"], ["order *7 *"], [9, 25])
-    return from_orders(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return entries_of(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("history_capped", "SELECT user_id AS entity, max(ts) AS last, count(*) AS visits FROM events GROUP BY user_id ORDER BY last DESC, entity LIMIT 40")
@@ -85,5 +85,5 @@ SELECT e.id, f.id IS NOT NULL AS favourite FROM entries e LEFT JOIN f ON e.id =
 )
 def favourites_first(spark, sf_dir):
     marked = table(spark, sf_dir, "events").where("event_id % 3 = 0").select((F.col("user_id") % 25 * 8 + 1).alias("id"))
-    rows = arrange.with_favourites(from_orders(spark, sf_dir).where("is_dir"), marked)
+    rows = arrange.with_favourites(entries_of(spark, sf_dir).where("is_dir"), marked)
     return rows.orderBy(F.desc("favourite"), "name_folded", "id").limit(100).select("id", "favourite")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.functions.text import fold, stem
+from quillsift.sources.stored import kept
 
 #: Recently opened items that go in front of the others.
 RECENT = 3
@@ -68,9 +69,13 @@ def low_priority(rules: list[str] = ()) -> Column:
     return F.exists("folders", low) | (F.col("is_dir") & low(F.col("name_folded")))
 
 
-def matching_names(rows: DataFrame, name: str, predicate: Column) -> DataFrame:
-    """Rows whose name fits a costly predicate, which is tested once for each name, not for each row."""
-    return rows.join(rows.select(name).distinct().where(predicate), name, "left_semi")
+def matching_names(rows: DataFrame, name: str, predicate: Column, names: DataFrame | None = None) -> DataFrame:
+    """Rows whose name fits a costly predicate, which is tested once for each name, not for each row.
+
+    The different names are a table of their own (`names`, written here where none is kept), and so are those that fit:
+    a plan that still knew the predicate would test it on every row again."""
+    known = kept(rows.select(name).distinct(), "names") if names is None else names
+    return rows.join(kept(known.where(predicate), "fitting"), name, "left_semi")
 
 
 def to_read(entries: DataFrame, known: DataFrame) -> DataFrame:

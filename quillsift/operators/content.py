@@ -47,7 +47,7 @@ def postings(distinct: DataFrame) -> DataFrame:
 
 
 def write_postings(index: DataFrame, path: str) -> None:
-    index.repartitionByRange("gram").sortWithinPartitions("gram", "content_id").write.parquet(path)
+    index.repartitionByRange("gram", "content_id").sortWithinPartitions("gram", "content_id").write.parquet(path)
 
 
 def grams_of(word: str) -> list[str]:

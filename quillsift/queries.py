@@ -14,6 +14,7 @@ from quillsift.plans import query as Q
 from quillsift.plans import rank
 from quillsift.sources import export, readers
 from quillsift.sources.entries import ENTRIES_SQL, from_orders, with_paths
+from quillsift.sources.stored import once, stored
 
 NOW = dt.datetime(2001, 9, 1, 12, 0)
 QUERIES, ORACLES = {}, {}
@@ -33,6 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def entries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries relation over orders, written once in a session for each state of its tables: filters on stored columns
+    reach its scan, and names are folded once."""
+    sources = [f"{sf_dir}/{t}.parquet" for t in ("region", "nation", "customer", "orders")]
+    return stored(spark, "entries", sources, lambda: from_orders(spark, sf_dir))
+
+
 # ---- names --------------------------------------------------------------------------------------------------------
 
 #: Search texts over the entries, and what each means in SQL.
@@ -62,7 +70,7 @@ NAME_QUERIES = {
 
 def _named(name: str, text: str, where: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Q.search(from_orders(spark, sf_dir), text, now=NOW).select("id", "name", "path")
+        return Q.search(entries_of(spark, sf_dir), text, now=NOW).select("id", "name", "path")
 
     register(name, f"{ENTRIES_SQL} SELECT id, name, path FROM entries WHERE coalesce({where}, FALSE)")(run)
 
@@ -92,23 +100,23 @@ SELECT id, name, score FROM s ORDER BY score DESC, coalesce(modified, 0) DESC, i
 def name_score_topk(spark, sf_dir):
     text = "ur 12"
     ways = Q.parse(text)
-    hits = Q.search(from_orders(spark, sf_dir), text).withColumn("score", rank.score(ways)).withColumn("modified", F.coalesce("modified", F.lit(0)))
+    hits = Q.search(entries_of(spark, sf_dir), text).withColumn("score", rank.score(ways)).withColumn("modified", F.coalesce("modified", F.lit(0)))
     return rank.by_match(hits).limit(50).select("id", "name", "score")
 
 
 @register("sort_size_unknown_last", f"{ENTRIES_SQL} SELECT id, size FROM entries WHERE contains(name_folded, 'order 1') ORDER BY size DESC NULLS LAST, id LIMIT 100")
 def sort_size_unknown_last(spark, sf_dir):
-    return rank.by(Q.search(from_orders(spark, sf_dir), '"order 1"'), "size", descending=True).limit(100).select("id", "size")
+    return rank.by(Q.search(entries_of(spark, sf_dir), '"order 1"'), "size", descending=True).limit(100).select("id", "size")
 
 
 @register("sort_newest", f"{ENTRIES_SQL} SELECT id, modified FROM entries WHERE NOT is_dir ORDER BY CASE WHEN modified >= 315619200 THEN modified END DESC NULLS LAST, id LIMIT 100")
 def sort_newest(spark, sf_dir):
-    return rank.by(from_orders(spark, sf_dir).where("NOT is_dir"), "modified", descending=True).limit(100).select("id", "modified")
+    return rank.by(entries_of(spark, sf_dir).where("NOT is_dir"), "modified", descending=True).limit(100).select("id", "modified")
 
 
 @register("sort_path", f"{ENTRIES_SQL} SELECT id, path FROM entries ORDER BY path, id LIMIT 100")
 def sort_path(spark, sf_dir):
-    return rank.by(from_orders(spark, sf_dir), "path").limit(100).select("id", "path")
+    return rank.by(entries_of(spark, sf_dir), "path").limit(100).select("id", "path")
 
 
 @register(
@@ -117,13 +125,13 @@ def sort_path(spark, sf_dir):
 SELECT id, is_dir, rank FROM r WHERE rank <= 20""",
 )
 def kinds_apart_topk(spark, sf_dir):
-    hits = Q.search(from_orders(spark, sf_dir), "00").withColumn("score", F.col("id") % 97).withColumn("modified", F.coalesce("modified", F.lit(0)))
+    hits = Q.search(entries_of(spark, sf_dir), "00").withColumn("score", F.col("id") % 97).withColumn("modified", F.coalesce("modified", F.lit(0)))
     return rank.top_of_each_kind(hits, 20).select("id", "is_dir", F.col("rank").cast("long").alias("rank"))
 
 
 @register("paginate_keyset", f"{ENTRIES_SQL} SELECT id, name FROM entries WHERE id > 4000 ORDER BY id LIMIT 30")
 def paginate_keyset(spark, sf_dir):
-    return rank.page(from_orders(spark, sf_dir), 4000, 30).select("id", "name")
+    return rank.page(entries_of(spark, sf_dir), 4000, 30).select("id", "name")
 
 
 @register(
@@ -131,7 +139,7 @@ def paginate_keyset(spark, sf_dir):
     f"{ENTRIES_SQL}, b AS (SELECT id, sum(strlen(path)) OVER (ORDER BY id)::BIGINT AS spent FROM entries) SELECT id, spent FROM b WHERE spent <= 100000",
 )
 def paginate_byte_budget(spark, sf_dir):
-    return rank.within_bytes(from_orders(spark, sf_dir), F.col("path"), 100_000).select("id", F.col("_spent").alias("spent"))
+    return rank.within_bytes(entries_of(spark, sf_dir), F.col("path"), 100_000).select("id", F.col("_spent").alias("spent"))
 
 
 # ---- hierarchy ----------------------------------------------------------------------------------------------------
@@ -139,33 +147,33 @@ def paginate_byte_budget(spark, sf_dir):
 
 @register("under_folder", f"{ENTRIES_SQL} SELECT id FROM entries WHERE list_has_any(ancestor_ids, [9, 25])")
 def under_folder(spark, sf_dir):
-    return from_orders(spark, sf_dir).where(hierarchy.under([9, 25])).select("id")
+    return entries_of(spark, sf_dir).where(hierarchy.under([9, 25])).select("id")
 
 
 @register("within_folder", f"{ENTRIES_SQL} SELECT id FROM entries WHERE id IN (16) OR list_has_any(ancestor_ids, [16])")
 def within_folder(spark, sf_dir):
-    return from_orders(spark, sf_dir).where(hierarchy.within([16])).select("id")
+    return entries_of(spark, sf_dir).where(hierarchy.within([16])).select("id")
 
 
 @register("direct_children", f"{ENTRIES_SQL} SELECT id, name FROM entries WHERE parent_id = 9")
 def direct_children(spark, sf_dir):
-    return from_orders(spark, sf_dir).where(hierarchy.child_of(9)).select("id", "name")
+    return entries_of(spark, sf_dir).where(hierarchy.child_of(9)).select("id", "name")
 
 
 @register("path_prefix", f"{ENTRIES_SQL} SELECT id, path FROM entries WHERE starts_with(lower(path), 'asia\\nation_1')")
 def path_prefix(spark, sf_dir):
-    return from_orders(spark, sf_dir).where(hierarchy.path_starts("ASIA\\Nation_1")).select("id", "path")
+    return entries_of(spark, sf_dir).where(hierarchy.path_starts("ASIA\\Nation_1")).select("id", "path")
 
 
 @register("path_tail", f"{ENTRIES_SQL} SELECT id, path FROM entries WHERE lower(path) = 'africa\\nation_5'")
 def path_tail(spark, sf_dir):
-    return from_orders(spark, sf_dir).where(hierarchy.path_tail(["africa", "nation_5"])).select("id", "path")
+    return entries_of(spark, sf_dir).where(hierarchy.path_tail(["africa", "nation_5"])).select("id", "path")
 
 
 @register("folders_of_table", f"{ENTRIES_SQL} SELECT e.id FROM entries e WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_acctbal < 0 AND list_contains(e.ancestor_ids, s.s_nationkey * 8 + 1))")
 def folders_of_table(spark, sf_dir):
     wanted = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select((F.col("s_nationkey") * 8 + 1).cast("long").alias("folder_id"))
-    return hierarchy.semi_below(from_orders(spark, sf_dir), wanted).select("id")
+    return hierarchy.semi_below(entries_of(spark, sf_dir), wanted).select("id")
 
 
 @register(
@@ -175,12 +183,12 @@ t AS (SELECT folder, sum(size)::BIGINT AS total, count(*) AS files FROM x GROUP
 SELECT e.id, CASE WHEN t.files IS NULL THEN 0 ELSE t.total END AS total, coalesce(t.files, 0) AS files FROM entries e LEFT JOIN t ON e.id = t.folder WHERE e.is_dir""",
 )
 def folder_size_rollup(spark, sf_dir):
-    return hierarchy.folder_totals(from_orders(spark, sf_dir))
+    return hierarchy.folder_totals(entries_of(spark, sf_dir))
 
 
 @register("empty_folders", f"{ENTRIES_SQL} SELECT id, name FROM entries e WHERE is_dir AND NOT EXISTS (SELECT 1 FROM entries k WHERE k.parent_id = e.id)")
 def empty_folders(spark, sf_dir):
-    return hierarchy.empty_folders(from_orders(spark, sf_dir)).select("id", "name")
+    return hierarchy.empty_folders(entries_of(spark, sf_dir)).select("id", "name")
 
 
 @register(
@@ -189,7 +197,7 @@ def empty_folders(spark, sf_dir):
 SELECT reason, count(*) FILTER (WHERE NOT is_dir) AS files, count(*) FILTER (WHERE is_dir) AS folders FROM r GROUP BY reason""",
 )
 def skip_reason_counts(spark, sf_dir):
-    return from_orders(spark, sf_dir).withColumn("reason", hierarchy.skip_reason(["txt"], [8])).groupBy("reason").agg(F.count_if(~F.col("is_dir")).alias("files"), F.count_if("is_dir").alias("folders"))
+    return entries_of(spark, sf_dir).withColumn("reason", hierarchy.skip_reason(["txt"], [8])).groupBy("reason").agg(F.count_if(~F.col("is_dir")).alias("files"), F.count_if("is_dir").alias("folders"))
 
 
 @register(
@@ -215,7 +223,7 @@ SELECT id, ext, depth, CASE WHEN size IS NULL THEN NULL WHEN size < 1000 THEN pr
   CASE WHEN modified >= 315619200 THEN strftime(to_timestamp(modified) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END AS modified_iso FROM v""",
 )
 def derived_columns(spark, sf_dir):
-    files = from_orders(spark, sf_dir).where("NOT is_dir")
+    files = entries_of(spark, sf_dir).where("NOT is_dir")
     iso = F.when(F.col("modified") >= Q.KNOWN_FROM, F.date_format(F.to_utc_timestamp(F.timestamp_seconds("modified"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"))
     return files.select("id", "ext", "depth", F.when(F.col("size").isNotNull(), T.size_text(F.col("size"))).alias("size_text"), iso.alias("modified_iso"))
 
@@ -230,12 +238,12 @@ b AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY modified DESC, id)
 SELECT id, tree, modified FROM b WHERE t <= 12 ORDER BY modified DESC, id LIMIT 40""",
 )
 def newest_per_folder_capped(spark, sf_dir):
-    return relate.newest_capped(from_orders(spark, sf_dir), 2, 12, 40, F.get("ancestor_ids", 0)).select("id", "tree", "modified")
+    return relate.newest_capped(entries_of(spark, sf_dir), 2, 12, 40, F.get("ancestor_ids", 0)).select("id", "tree", "modified")
 
 
 @register("ext_group_counts", f"{ENTRIES_SQL} SELECT ext, count(*) AS files FROM entries WHERE ext IS NOT NULL GROUP BY ext ORDER BY files DESC, ext LIMIT 3")
 def ext_group_counts(spark, sf_dir):
-    return relate.kinds_of(from_orders(spark, sf_dir))
+    return relate.kinds_of(entries_of(spark, sf_dir))
 
 
 @register(
@@ -371,16 +379,24 @@ def gram_postings(spark, sf_dir):
     return content.postings(distinct).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
 
 
+def conversation_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of the distinct texts, sorted by gram and written once in a session: searches read the grams they ask for."""
+
+    def build(path: str) -> None:
+        content.write_postings(content.postings(content.contents(table(spark, sf_dir, "conversations"), "conv_id", "text")[0]), path)
+
+    return spark.read.parquet(once(spark, "postings", [f"{sf_dir}/conversations.parquet"], build))
+
+
 @register("gram_intersection", f"{_GRAMS_SQL} SELECT content_id FROM g WHERE gram IN ('the', 'her', 'er ', 'ere') GROUP BY content_id HAVING count(*) = 4")
 def gram_intersection(spark, sf_dir):
-    distinct, _ = content.contents(table(spark, sf_dir, "conversations"), "conv_id", "text")
-    return content.candidates(content.postings(distinct), [["ther ", "ere"]])
+    return content.candidates(conversation_postings(spark, sf_dir), [["ther ", "ere"]])
 
 
 @register("content_pruned_search", "SELECT DISTINCT sha256(text) AS content_id FROM conversations WHERE contains(lower(text), 'there') AND contains(lower(text), 'and the')")
 def content_pruned_search(spark, sf_dir):
     distinct, _ = content.contents(table(spark, sf_dir, "conversations"), "conv_id", "text")
-    return content.search(distinct, content.postings(distinct), 'there "and the"').select("content_id")
+    return content.search(distinct, conversation_postings(spark, sf_dir), 'there "and the"').select("content_id")
 
 
 @register("dedupe_contents", "SELECT sha256(text) AS content_id, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1")
@@ -497,24 +513,24 @@ def semantic_int8_error(spark, sf_dir):
 
 @register("type_keyword", f"{ENTRIES_SQL} SELECT id, name FROM entries WHERE NOT is_dir AND ext IN ('csv', 'doc', 'docx', 'md', 'pdf', 'ppt', 'pptx', 'rtf', 'txt', 'xls', 'xlsx') AND contains(name_folded, 'urgent')")
 def type_keyword(spark, sf_dir):
-    return from_orders(spark, sf_dir).where(Q.with_types("urgent doc:", Q.fields())).select("id", "name")
+    return entries_of(spark, sf_dir).where(Q.with_types("urgent doc:", Q.fields())).select("id", "name")
 
 
 @register("type_folder", f"{ENTRIES_SQL} SELECT id, name FROM entries WHERE is_dir AND contains(name_folded, 'nation')")
 def type_folder(spark, sf_dir):
-    return from_orders(spark, sf_dir).where(Q.with_types(":folder nation", Q.fields())).select("id", "name")
+    return entries_of(spark, sf_dir).where(Q.with_types(":folder nation", Q.fields())).select("id", "name")
 
 
 @register("quick_filters", f"{ENTRIES_SQL} SELECT id, name FROM entries WHERE contains(name_folded, 'order 2') AND NOT contains(name_folded, 'low') AND NOT is_dir AND size >= {20 << 20}")
 def quick_filters(spark, sf_dir):
     saved = {"calm": "!low", "big": "size:20mb", "broken": "re:["}
-    return from_orders(spark, sf_dir).where(Q.with_filters("order :calm big: broken:", {**saved}, Q.fields())).where(F.contains("name_folded", F.lit("order 2"))).select("id", "name")
+    return entries_of(spark, sf_dir).where(Q.with_filters("order :calm big: broken:", {**saved}, Q.fields())).where(F.contains("name_folded", F.lit("order 2"))).select("id", "name")
 
 
 @register("hidden_folders", f"{ENTRIES_SQL} SELECT id FROM entries WHERE NOT list_has_any(CASE WHEN is_dir THEN list_append(folders, name_folded) ELSE folders END, ['asia', 'nation_3', 'customer#000000007'])")
 def hidden_folders(spark, sf_dir):
     rules = spark.createDataFrame([("asia",), ("nation_3",), ("customer#000000007",)], "rule string")
-    return hierarchy.hidden(rules, from_orders(spark, sf_dir)).select("id")
+    return hierarchy.hidden(rules, entries_of(spark, sf_dir)).select("id")
 
 
 @register(
@@ -523,7 +539,7 @@ def hidden_folders(spark, sf_dir):
 SELECT verdict, count(*) AS files FROM v GROUP BY verdict""",
 )
 def read_verdicts(spark, sf_dir):
-    files = from_orders(spark, sf_dir).where("NOT is_dir")
+    files = entries_of(spark, sf_dir).where("NOT is_dir")
     return files.withColumn("verdict", hierarchy.read_verdict(F.get("folders", 0) == "europe")).groupBy("verdict").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -680,7 +696,7 @@ def pricing_summary(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search box, end to end: a text to ranked rows."""
     text = "order ext:pdf;docx size:>1mb dm:1996..2000 !low"
-    hits = Q.search(from_orders(spark, sf_dir), text, now=NOW).withColumn("score", rank.score(Q.parse(text, now=NOW)))
+    hits = Q.search(entries_of(spark, sf_dir), text, now=NOW).withColumn("score", rank.score(Q.parse(text, now=NOW)))
     return rank.by_match(hits).limit(100).select("id", "path", "size", "modified", "score")
 
 

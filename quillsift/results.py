@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from quillsift.operators import arrange, hierarchy, relate
 from quillsift.plans import query as Q
 from quillsift.plans import rank
-from quillsift.queries import register, table
+from quillsift.queries import entries_of, register, table
 from quillsift.sources import export
-from quillsift.sources.entries import ENTRIES_SQL, from_orders
+from quillsift.sources.entries import ENTRIES_SQL
 
 
 @register(
@@ -18,12 +18,12 @@ from quillsift.sources.entries import ENTRIES_SQL, from_orders
 )
 def inside_folder_first(spark, sf_dir):
     newest = F.when(F.col("modified") >= Q.KNOWN_FROM, F.col("modified")).desc_nulls_last()
-    return arrange.inside_first(Q.search(from_orders(spark, sf_dir), "urgent"), hierarchy.under([9]), [newest, F.asc("id")], 500).select("id", "inside")
+    return arrange.inside_first(Q.search(entries_of(spark, sf_dir), "urgent"), hierarchy.under([9]), [newest, F.asc("id")], 500).select("id", "inside")
 
 
 @register("sort_folder_order", f"{ENTRIES_SQL} SELECT id, path FROM entries ORDER BY folders, name_folded, id LIMIT 400")
 def sort_folder_order(spark, sf_dir):
-    return arrange.by_folder(from_orders(spark, sf_dir)).limit(400).select("id", "path")
+    return arrange.by_folder(entries_of(spark, sf_dir)).limit(400).select("id", "path")
 
 
 @register(
@@ -37,7 +37,7 @@ SELECT id, name, part FROM p ORDER BY part, opened DESC NULLS LAST, score DESC,
 )
 def arranged_results(spark, sf_dir):
     """The folders opened last come from the events' users."""
-    hits = Q.search(from_orders(spark, sf_dir), "nation_1 | urgent").withColumns({"score": F.col("id") % 97, "modified": F.coalesce("modified", F.lit(0))})
+    hits = Q.search(entries_of(spark, sf_dir), "nation_1 | urgent").withColumns({"score": F.col("id") % 97, "modified": F.coalesce("modified", F.lit(0))})
     history = table(spark, sf_dir, "events").select((F.col("user_id") % 25 * 8 + 1).alias("id"), F.col("ts").alias("opened"))
     return arrange.arranged(hits, history, ["nation_1", "Order 1 1-URGENT"], ["pdf"], 200, folders_first=True).select("id", "name", "part")
 
@@ -48,7 +48,7 @@ def arranged_results(spark, sf_dir):
 )
 def hits_with_history(spark, sf_dir):
     history = table(spark, sf_dir, "events").select((F.col("user_id") % 25 * 8 + 1).alias("id"), F.col("ts").alias("opened"))
-    return arrange.with_history(from_orders(spark, sf_dir).where("is_dir"), history).select("id", "opened")
+    return arrange.with_history(entries_of(spark, sf_dir).where("is_dir"), history).select("id", "opened")
 
 
 @register(
@@ -58,7 +58,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY modified DESC, id)
 SELECT id, tree, modified FROM b WHERE t <= 12 ORDER BY modified DESC, id LIMIT 80""",
 )
 def newest_per_tree_capped(spark, sf_dir):
-    return relate.newest_capped(from_orders(spark, sf_dir), 2, 12, 80, arrange.tree_folder()).select("id", "tree", "modified")
+    return relate.newest_capped(entries_of(spark, sf_dir), 2, 12, 80, arrange.tree_folder()).select("id", "tree", "modified")
 
 
 @register(
@@ -67,7 +67,7 @@ def newest_per_tree_capped(spark, sf_dir):
 )
 def type_scoped_folders(spark, sf_dir):
     """Inside the chosen folders and inside those of the chosen type as well."""
-    return from_orders(spark, sf_dir).where(hierarchy.under([8, 16])).where(hierarchy.under(list(range(9, 66, 8)))).select("id")
+    return entries_of(spark, sf_dir).where(hierarchy.under([8, 16])).where(hierarchy.under(list(range(9, 66, 8)))).select("id")
 
 
 @register(
@@ -76,7 +76,7 @@ def type_scoped_folders(spark, sf_dir):
 OR (is_dir AND (starts_with(name_folded, '.') OR name_folded IN ('nation_3', 'africa')))""",
 )
 def low_priority_rules(spark, sf_dir):
-    return from_orders(spark, sf_dir).where(arrange.low_priority(["nation_3", "africa"])).select("id")
+    return entries_of(spark, sf_dir).where(arrange.low_priority(["nation_3", "africa"])).select("id")
 
 
 @register("distinct_name_scan", r"SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m]\w* \w*[aeiou]\w$')")
@@ -93,12 +93,12 @@ SELECT e.id, CASE WHEN k.id IS NULL THEN 'new' ELSE 'changed' END AS why FROM en
 def contents_to_read(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     known = orders.select((F.col("o_orderkey") * 8 + 3).alias("id"), F.unix_timestamp("o_orderdate").alias("stamp"))
-    return arrange.to_read(from_orders(spark, sf_dir), known)
+    return arrange.to_read(entries_of(spark, sf_dir), known)
 
 
 @register("json_lines", f"{ENTRIES_SQL} SELECT to_json({{'id': id, 'name': name, 'ext': ext, 'size': size}})::VARCHAR AS line FROM entries WHERE contains(name_folded, 'urgent')")
 def json_lines(spark, sf_dir):
-    return export.json_lines(Q.search(from_orders(spark, sf_dir), "urgent").select("id", "name", "ext", "size"))
+    return export.json_lines(Q.search(entries_of(spark, sf_dir), "urgent").select("id", "name", "ext", "size"))
 
 
 @register(
@@ -114,7 +114,7 @@ SELECT id, name, score FROM s ORDER BY score DESC, coalesce(modified, 0) DESC, i
 )
 def name_score_full(spark, sf_dir):
     """Places, coverage, priority, hidden folders, preferred types and depth in one score."""
-    hits = Q.search(from_orders(spark, sf_dir), "urgent").withColumn("modified", F.coalesce("modified", F.lit(0)))
+    hits = Q.search(entries_of(spark, sf_dir), "urgent").withColumn("modified", F.coalesce("modified", F.lit(0)))
     low, hidden = arrange.low_priority(["nation_3", "africa"]), hierarchy.under([25])
     whole = rank.entry_score(rank.score(Q.parse("urgent")), low, hidden, ["pdf"], Q.exact_name(Q.parse("urgent"), Q.fields()))
     return rank.by_match(hits.withColumn("score", whole)).limit(500).select("id", "name", "score")

@@ -58,6 +58,13 @@ def session_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table of the session: what reads it knows nothing of how they were made."""
+    path = session_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 _MADE: dict[tuple, str] = {}
 
 

@@ -9,8 +9,8 @@ from quillsift.operators import arrange, scope
 from quillsift.plans import foreign
 from quillsift.plans import query as Q
 from quillsift.plans import rank
-from quillsift.queries import NOW, register, table
-from quillsift.sources.entries import ENTRIES_SQL, from_orders
+from quillsift.queries import NOW, entries_of, register, table
+from quillsift.sources.entries import ENTRIES_SQL
 
 #: Names that parts get by their key, and readings of their characters.
 SOUNDING = ["报告.txt", "年度报告.docx", "my报告.md", "报告", "解决.txt", "解.txt", "绿色.png", "重庆.jpg", "A重庆x.jpg", "银行卡.txt", "报告2.txt", "bg报告.txt"]
@@ -68,7 +68,7 @@ def name_score_exact(spark, sf_dir):
         ways, f = Q.parse(f'"{typed}" !zzz'), Q.fields()
         low = arrange.low_priority(["asia", "europe", "africa", "america", "middle east"])
         points = rank.entry_score(rank.score(ways), low, F.lit(False), ["pdf", "docx"], Q.exact_name(ways, f))
-        hits = Q.search(from_orders(spark, sf_dir), f'"{typed}"').where(Q.exact_name(ways, f))
+        hits = Q.search(entries_of(spark, sf_dir), f'"{typed}"').where(Q.exact_name(ways, f))
         one = hits.select("id", F.lit(typed).alias("typed"), points.alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -85,7 +85,7 @@ UNION ALL SELECT 'starts' AS text, id FROM entries WHERE starts_with(lower(path)
 def foreign_search(spark, sf_dir):
     """Texts of another tool over the entries; two of them can't be said and find nothing. Its places begin with a drive,
     which the entries' paths get in front."""
-    entries = from_orders(spark, sf_dir).withColumn("path", F.concat(F.lit("E:\\"), "path"))
+    entries = entries_of(spark, sf_dir).withColumn("path", F.concat(F.lit("E:\\"), "path"))
     texts = {
         "folders": r'<"E:\ASIA\" | "E:\europe\Nation_8\"> file:urgent ext:pdf;txt', "direct": r"folder: infolder:E:\Asia", "roots": "root:", "starts": r"E:\asia\nation_2",
         "refused": "urgent attrib:h", "groups": "<urgent low>",
@@ -115,7 +115,7 @@ SELECT typed, how, count(DISTINCT id) AS entries, sum(id)::BIGINT AS ids FROM (S
 )
 def folder_scopes(spark, sf_dir):
     """Places of a search read exactly, approximately, and as words; what lies in them and has the words."""
-    entries, out = from_orders(spark, sf_dir), None
+    entries, out = entries_of(spark, sf_dir), None
     for typed in ("urgent asia/nation_2/", "low customer#00000001/", "low /europe", "high asi/customer#0000001/", "urgent nosuchfolder/"):
         found = scope.resolve(entries, typed)
         rows = entries if found.folders is None else scope.inside(entries, found.folders)
@@ -136,7 +136,7 @@ SELECT id, CASE WHEN hidden THEN 'folder' WHEN coalesce(file, FALSE) THEN 'file'
 )
 def hidden_by_rules(spark, sf_dir):
     """Rules by name, by a tail of names and by a pattern, beside a rule on files; what both skip is in no set."""
-    entries = from_orders(spark, sf_dir)
+    entries = entries_of(spark, sf_dir)
     return scope.shown(entries, ["Africa", "asia\\nation_2", "customer#*31", "customer#*71"], ~F.col("is_dir") & (F.col("ext") == "txt")).select("id", "reason")
 
 
@@ -165,7 +165,7 @@ s AS (SELECT e.id, l.g IS NOT NULL AS learned, e.modified, l.g, l.weight, l.last
 SELECT id, learned, score FROM s ORDER BY learned DESC, g, weight DESC, last DESC, CASE WHEN NOT learned THEN score END DESC NULLS LAST, CASE WHEN NOT learned THEN modified END DESC NULLS LAST, id LIMIT 400""",
 )
 def learned_first(spark, sf_dir):
-    hits = Q.search(from_orders(spark, sf_dir), "urgent").withColumn("score", rank.score(Q.parse("urgent")))
+    hits = Q.search(entries_of(spark, sf_dir), "urgent").withColumn("score", rank.score(Q.parse("urgent")))
     return scope.learned_first(hits, visits(spark, sf_dir), "urgent", F.lit(str(NOW)).cast("timestamp"), 400).select("id", "learned", "score")
 
 
@@ -219,4 +219,4 @@ SELECT h.id, h.name, CASE WHEN t.n > 25 THEN t.cursor END AS next_cursor, t.n >
 )
 def paged_answer(spark, sf_dir):
     """A page that goes on after a cursor, and says whether there is more."""
-    return rank.answer(Q.search(from_orders(spark, sf_dir), "urgent"), 1000, 25).select("id", "name", "next_cursor", "truncated")
+    return rank.answer(Q.search(entries_of(spark, sf_dir), "urgent"), 1000, 25).select("id", "name", "next_cursor", "truncated")
