@@ -11,6 +11,7 @@ from quillsift.operators import content
 from quillsift.operators.textindex import TextIndex
 from quillsift.queries import register, table
 from quillsift.sources.stored import once, session_folder
+from quillsift.streaming import changes
 from quillsift.streaming.changelog import ChangeLog, counted
 from quillsift.streaming.notices import Budget, budgeted_table
 
@@ -152,3 +153,19 @@ def journal_budget(spark, sf_dir):
     """Of each kind of event what a journal takes, and how many were left out before it."""
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), "ts", F.coalesce(F.col("value") >= 20, F.lit(False)).alias("notable"))
     return budgeted_table(rows, Budget(notable_an_hour=2, every_ms=1_800_000))
+
+
+@register(
+    "repeat_windows",
+    """WITH RECURSIVE e AS (SELECT event_type || ' ' || (user_id % 5)::VARCHAR AS message, ts, row_number() OVER (PARTITION BY event_type, user_id % 5 ORDER BY ts) AS n FROM events),
+f AS (SELECT message, ts, min(n) AS n FROM e GROUP BY message, ts),
+x AS MATERIALIZED (SELECT a.message, a.n, b.n AS next FROM e a ASOF JOIN f b ON a.message = b.message AND a.ts + INTERVAL 12 HOUR <= b.ts),
+w(message, n) AS (SELECT message, n FROM e WHERE n = 1 UNION ALL SELECT w.message, x.next FROM w JOIN x ON x.message = w.message AND x.n = w.n),
+t AS (SELECT e.*, row_number() OVER (PARTITION BY e.message, w.n ORDER BY e.n) AS i, w.n AS opened FROM e ASOF JOIN w ON e.message = w.message AND e.n >= w.n)
+SELECT message, ts, 0::BIGINT AS suppressed FROM t WHERE i <= 3
+UNION ALL SELECT message, NULL AS ts, count(*) AS suppressed FROM t WHERE i > 3 GROUP BY message, opened""",
+)
+def repeat_windows(spark, sf_dir):
+    """Of each message the first three copies in a window that its first one opens, and how many were held back."""
+    message = F.concat_ws(" ", "event_type", (F.col("user_id") % 5).cast("string"))
+    return changes.limited_table(table(spark, sf_dir, "events").select(message.alias("message"), "ts"), width_ms=12 * 3_600_000)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -115,6 +116,37 @@ def limited(messages: DataFrame, delay: str = "10 seconds") -> DataFrame:
     )
 
 
+def limited_table(messages: DataFrame, width_ms: int = WINDOW_MS, copies: int = COPIES) -> DataFrame:
+    """The same for a table (message, ts): each message is read once in order, a batch at a time, with three numbers kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        message = opened = None
+        shown = hidden = 0
+        out: list[tuple] = []
+        for batch in batches:
+            for m, ts in zip(batch.column("message").to_pylist(), batch.column("ts").cast(pa.int64()).to_pylist()):
+                if m != message or ts >= opened + 1000 * width_ms:
+                    if hidden:
+                        out.append((message, None, hidden))
+                    message, opened, shown, hidden = m, ts, 0, 0
+                if shown < copies:
+                    shown += 1
+                    out.append((m, ts, 0))
+                else:
+                    hidden += 1
+            yield told(out)
+            out = []
+        yield told([(message, None, hidden)] if hidden else [])
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        message, ts, suppressed = (pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))
+        return pa.record_batch([message, ts.cast(pa.timestamp("us", tz="UTC")), suppressed], ["message", "ts", "suppressed"])
+
+    rows = messages.where("ts IS NOT NULL").select(F.col("message").cast("string").alias("message"), F.col("ts").cast("timestamp").alias("ts"))
+    return rows.repartition("message").sortWithinPartitions("message", "ts").mapInArrow(run, "message string, ts timestamp, suppressed long")
+
+
 def counts(events: DataFrame, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
     """Tumbling counts by type; late rows are let in for a time."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from quillsift.streaming import changes
 from quillsift.streaming import notices as N
 
 NOTICE = "root string, seq long, kind string, path string"
@@ -145,3 +146,12 @@ def test_budget(spark, tmp_path, as_stream):
         want = dict(by_hand([(at, n) for _, at, n in mine], 6, 3, 1200))
         assert own == [(i, want[at]) for i, at, _ in mine if at in want] and any(s for _, s in own)
     assert N.budgeted_table(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_windows_that_a_first_copy_opens(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    times = {"a": [0, 1, 2, 3, 9.9, 10, 11], "b": [5, 5, 5, 5, 30], "c": [1]}
+    rows = spark.createDataFrame([(m, at(s)) for m, ts in times.items() for s in ts] + [("c", None)], "message string, ts timestamp").repartition(3)
+    got = sorted(((r.message, r.ts, r.suppressed) for r in changes.limited_table(rows).collect()), key=repr)
+    want = [("a", at(s), 0) for s in (0, 1, 2, 10, 11)] + [("a", None, 2)] + [("b", at(s), 0) for s in (5, 5, 5, 30)] + [("b", None, 1), ("c", at(1), 0)]
+    assert got == sorted(want, key=repr) and changes.limited_table(rows.limit(0)).count() == 0
