@@ -15,13 +15,16 @@ reaches further, they are inside it too. So every link shares a signature. Docum
 nearly all of them, never make a combination and never meet in a frequent token.
 
 Frequency is counted exactly over all documents' heads, the first tokens by hash: as many as a prefix needs and an eighth
-more. Documents that have too few rare tokens there ("poor" ones) bring their whole sets and look their tokens' classes
-up. A class's parts follow the size of the sets, in ranges that double; a set near the end of a range joins the next too.
+more. Documents that have too few rare tokens there ("poor" ones) bring their whole sets; what is frequent among these
+counts as frequent too, and documents that are poor by then look all their tokens' classes up. A class's parts follow the size of the sets, in ranges that double; a set near the end of a range joins the next too.
 Where sets are too small to be told by combinations (below four tokens at 0.8), frequent tokens stand alone.
 
-Candidates are the members of a signature with its smallest id (a star). Heads bound a pair's overlap from above, which
-drops most pairs exactly; the others are verified on whole sets. Members that stay in different components of one
-signature are compared in blocks inside tasks, as the near-duplicate operator does it.
+Candidates are the members of a signature with its smallest id (a star). Each document first meets the one that it shares
+most signatures with, then those of other components. Heads bound a pair's overlap from above, which drops most pairs
+exactly; the others are verified on whole sets, which move once, to the smaller id. Members that stay in different
+components of one signature have bitmaps of their sets compared in blocks of BLOCK inside tasks, which give out pairs alone:
+a bit that only one of two sets has proves a token that the other one lacks. Of signatures with the same members one is
+enough; what the bitmaps leave is bounded by heads and verified as before.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a null doc_id is linked with nothing
 and has a null component; rows that share a doc_id are one document that has each of their texts; an empty table gives
@@ -39,15 +42,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, groups, prepare, released, slices, written
+from .common import Filter, as_bytes, column, groups, prepare, released, slices, written
 from .components import components
-from .minhash import _links_left, _shingle_sets, _verify
+from .minhash import _shingle_sets, _verify
 from .shingles import mix, shingle_set
 
 #: Documents in whose heads a token of the first, and of the second frequent class occurs more than.
 FREQUENT = (64, 4096)
 #: Missing tokens of the smallest set of a size range for each part of a frequent class.
 SPREAD = 4
+#: Members of one signature whose bitmaps a task compares with those of as many others.
+BLOCK = 256
 
 
 class Join:
@@ -118,15 +123,17 @@ def _heads(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, classes, heads = [], [], []
+                sizes, classes, heads, bits = [], [], [], []
                 for text in as_bytes(column(part, "text")):
                     values = shingle_set(text, join.k)
                     sizes.append(len(values))
                     classes.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
-                    heads.append(least_hashes(values)[: join.head(len(values))] if len(values) else None)
+                    tokens = least_hashes(values)
+                    heads.append(tokens[: join.head(len(values))] if len(values) else None)
+                    bits.append(np.packbits(bitmap(tokens)).tobytes() if len(values) else None)
                 yield pa.record_batch(
-                    [column(part, "doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "class", "head"],
+                    [column(part, "doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    ["doc_id", "n_shingles", "class", "head", "bits"],
                 )
 
     return released(run)
@@ -200,52 +207,163 @@ def _bounded(join: Join):
     return released(run)
 
 
-def signatures(docs: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
-    """(key, id) of the representatives (id, n_shingles, head): two linked ones share a key."""
-    held = reps.select("id", "n_shingles", F.explode("head").alias("token"))
-    bounds = [F.when(F.col("n") > b, 1).otherwise(0) for b in FREQUENT]
-    frequent = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FREQUENT[0])
-    frequent = written(frequent.select("token", sum(bounds).cast("int").alias("kind")), "frequent")
-    # frequent tokens of each head: a head with too few others is poor
-    common = held.join(frequent, "token")
-    common = common.groupBy("id").agg(F.count(F.lit(1)).alias("common"), F.any_value("n_shingles").alias("n"))
+def _repeated(tokens: DataFrame, more_than: int) -> DataFrame:
+    """Tokens of more than so many of the sets given as rows, and of how many."""
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
+
+
+def _short(held: DataFrame, frequent: DataFrame, join: Join) -> DataFrame:
+    """Ids of the heads that have fewer tokens outside `frequent` than a prefix needs."""
+    common = held.join(frequent.select("token"), "token").groupBy("id").agg(F.count(F.lit(1)).alias("common"), F.any_value("n_shingles").alias("n"))
     need = F.col("n") - F.ceil(F.col("n") * join.num / join.den) + 1
     size = F.least(F.col("n"), need + F.floor(need / 8) + 1)
+    return common.where(size - F.col("common") < need).select("id")
+
+
+def _values(k: int):
+    """Rows (a, b, text) with b's set in place of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = pa.array([shingle_set(t, k).tobytes() for t in as_bytes(column(part, "text"))], pa.binary())
+                yield pa.record_batch([column(part, "a"), column(part, "b"), sets], ["a", "b", "values_b"])
+
+    return released(run)
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A set as bits, one to two for each token in a power of two (64 at least), so that halves can be laid on each other."""
+    bits = np.zeros(max(64, 1 << (len(tokens) - 1).bit_length()), bool)
+    bits[tokens & (len(bits) - 1)] = True
+    return bits
+
+
+def pairs_left(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], join: Join, side: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of ids of different components that may be linked by their bitmaps; with `side` only those of different
+    sides. Sets that can be linked have bitmaps of one length or of one and twice it."""
+    widths, found = np.array([len(b) for b in bits]), []
+    for width in np.unique(widths):
+        at = np.flatnonzero((widths == width) | (widths == 2 * width))
+        x = np.stack([bits[i] if len(bits[i]) == width else bits[i].reshape(2, -1).any(axis=0) for i in at])
+        both = np.zeros((len(at), len(at)), np.float32)
+        for lo in range(0, width, 4096):
+            part = x[:, lo : lo + 4096].astype(np.float32)
+            both += part @ part.T
+        n, only = sizes[at], x.sum(axis=1)[:, None] - both.astype(np.int64)  # bits of i that j has not
+        most = np.minimum(n[:, None] - only, (n[:, None] - only).T)
+        good = (join.den * most >= join.num * (n[:, None] + n - most)) & (np.minimum(n[:, None], n) * join.den >= join.num * np.maximum(n[:, None], n))
+        good &= (np.minimum(widths[at][:, None], widths[at]) == width) & (comps[at][:, None] != comps[at])
+        if side is not None:
+            good &= side[at][:, None] != side[at]
+        found.append(ids[at][np.argwhere(np.triu(good, 1))])
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _blocks(join: Join):
+    """Rows come sorted by (key, i, j): the members of blocks i and j of a signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for (_, i, j), rows in groups(batches, ["key", "i", "j"]):
+                if rows.num_rows < 2:
+                    continue
+                bits = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)).view(bool) for x in rows.column("bits")]
+                ids, comps, sizes, side = (rows.column(c).to_numpy() for c in ("id", "component", "n_shingles", "own"))
+                found = pairs_left(ids, comps, sizes, bits, join, side if i != j else None)  # pairs within a block meet in (i, i)
+                yield [np.minimum(found[:, 0], found[:, 1]), np.maximum(found[:, 0], found[:, 1])]
+
+        yield from _rows(parts(), ["a", "b"])
+
+    return released(run)
+
+
+def signatures(docs: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
+    """(key, id) of the representatives (id, n_shingles, head, bits): two linked ones share a key."""
+
+    def whole(ids: DataFrame) -> DataFrame:
+        return _shingle_sets(docs, ids, join.k).mapInArrow(released(_tokens), "id long, own long, token long")
+
+    held = reps.select("id", "n_shingles", F.explode("head").alias("token"))
     twice = reps.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")  # sets that share an id
-    poor = written(common.where(size - F.col("common") < need).select("id").union(twice).distinct(), "poor")
-    plain = held.select("id", "token").join(poor, "id", "left_anti").join(frequent, "token", "left_anti").select(F.col("token").alias("key"), "id")
-    tokens = _shingle_sets(docs, poor, join.k).mapInArrow(released(_tokens), "id long, own long, token long").join(frequent, "token", "left")
+    heads = written(_repeated(held, 1), "repeated")
+    first = written(_short(held, heads.where(F.col("n") > FREQUENT[0]), join).union(twice).distinct(), "poor")
+    sets = whole(first)
+    kind = sum(F.when(F.col("n") > b, 1).otherwise(0) for b in FREQUENT).cast("int").alias("kind")
+    frequent = heads.where(F.col("n") > FREQUENT[0]).unionByName(_repeated(sets, FREQUENT[0]))
+    frequent = written(frequent.groupBy("token").agg(F.max("n").alias("n")).select("token", kind), "frequent")
+    poor = written(_short(held, frequent, join).union(first).distinct(), "poor")
+    tokens = sets.unionByName(whole(poor.join(first, "id", "left_anti"))).join(frequent, "token", "left")
     tokens = tokens.select("id", "own", "token", F.coalesce("kind", F.lit(0)).alias("kind"))
-    made = tokens.repartition("id").sortWithinPartitions("id", "own").mapInArrow(_poor(join), "key long, id long")
+    made = written(tokens.repartition("id").sortWithinPartitions("id", "own").mapInArrow(_poor(join), "key long, id long"), "signatures")
+    # of the others' tokens those that are somebody else's too
+    shared = heads.select("token").unionByName(made.select(F.col("key").alias("token"))).join(frequent, "token", "left_anti")
+    shared = written(shared.distinct(), "shared")
+    some = Filter(shared.select(F.xxhash64("token").alias("h")), shared.count()).split(held.select("id", "token"), F.xxhash64("token"))[1]
+    plain = some.join(shared, "token", "left_semi").join(poor, "id", "left_anti").select(F.col("token").alias("key"), "id")
     return written(plain.unionByName(made), "signatures")
 
 
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """Links (u, v) among pairs (a, b)."""
+    pairs = written(pairs, "asked")  # Spark knows its size when it plans the joins
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("head").alias(f"head_{x}"))
+    centres = side("a").join(pairs.select("a").distinct(), "a", "left_semi")
+    pairs = written(pairs.join(side("b"), "b").join(centres, "a").mapInArrow(_bounded(join), "a long, b long"), "pairs")
+    rows = docs.select(F.col("doc_id").alias("b"), "text").where("text is not null and doc_id is not null")
+    some = Filter(pairs.select(F.xxhash64("b").alias("h")).distinct(), pairs.count()).split(rows, F.xxhash64("b"))[1]
+    moved = some.join(pairs, "b").select("a", "b", "text").mapInArrow(_values(join.k), "a long, b long, values_b binary")
+    centres = _shingle_sets(docs, pairs.select(F.col("a").alias("id")).distinct(), join.k)
+    return written(moved.join(centres.toDF("a", "values_a"), "a").mapInArrow(_verify(join), "u long, v long"), "links")
+
+
 def linked_components(docs: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
-    """(node, component) of representatives (id, n_shingles, head) that are linked with others."""
+    """(node, component) of representatives (id, n_shingles, head, bits) that are linked with others."""
     held = signatures(docs, reps, join)
     stars = written(held.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key", "a"), "stars")
     buckets = written(held.join(stars, "key"), "buckets")
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("head").alias(f"head_{x}"))
-    met = written(buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "met")
-    pairs = written(met.join(side("b"), "b").join(side("a"), "a").mapInArrow(_bounded(join), "a long, b long"), "pairs")
-    sets = _shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), join.k)
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("values").alias(f"values_{x}"))
-    links = written(pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(_verify(join), "u long, v long"), "links")
+    met = buckets.where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    met = written(met, "met")
+    best = met.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
+    links = _verified(docs, reps, best, join)
     comp = written(components(links), "components")
-    more = _links_left(docs, reps, buckets.withColumn("band", F.lit(0)), comp, join)
-    if more.isEmpty():
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    apart = met.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    # two that no link was found for may have met already; that is rare and found once more
+    apart = apart.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    comp = _joined(comp, _verified(docs, reps, apart, join))
+    return _joined(comp, _verified(docs, reps, _pairs_left(reps, buckets, comp, join), join))
+
+
+def _pairs_left(reps: DataFrame, buckets: DataFrame, comp: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) that share a signature, are in different components, and may be linked by their bitmaps."""
+    own = buckets.where("id <> a").select("id", "key").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    own = written(own.withColumn("component", F.coalesce("component", "id")), "members")
+    same = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
+    apart = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), *same)
+    apart = apart.where("lo < hi").groupBy("n", "lo", "hi", "s0", "s1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    members = own.join(written(apart, "apart"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component").join(reps.select("id", "n_shingles", "bits"), "id")
+    met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return written(met.mapInArrow(_blocks(join), "a long, b long").distinct(), "left")
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) with further links (u, v)."""
+    if links.isEmpty():
         return comp
-    return components(more.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    return written(components(links.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs; links need Jaccard >= num / den."""
     prepare(docs.sparkSession)
     join = Join(k, num, den)
-    signed = docs.select("doc_id", "text").mapInArrow(_heads(join), "doc_id long, n_shingles long, class binary, head array<long>")
+    signed = docs.select("doc_id", "text").mapInArrow(_heads(join), "doc_id long, n_shingles long, class binary, head array<long>, bits binary")
     signed = written(signed, "heads")
     some = signed.where("class is not null and doc_id is not null")
-    held = F.struct("n_shingles", "head")
+    held = F.struct("n_shingles", "head", "bits")
     classes = written(some.groupBy("class").agg(F.min("doc_id").alias("id"), F.any_value(held).alias("x")).select("class", "id", "x.*"), "classes")
     comp = linked_components(docs, classes.drop("class"), join)
     labels = classes.select("class", "id").join(comp.withColumnRenamed("node", "id"), "id", "left")

@@ -23,6 +23,7 @@ def templates(rng, n, lines=12):
 def test_against_brute_force(spark, sf_dir, frequent, monkeypatch):
     """Low bounds make most tokens frequent, so that links are found by pairs and triples of tokens."""
     monkeypatch.setattr(j, "FREQUENT", frequent)
+    monkeypatch.setattr(j, "BLOCK", 8)  # so that blocks are cut and met
     rng = random.Random(2)
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     texts += variants(rng, 60) + variants(rng, 40, 30) + templates(rng, 60) + ["", None, " \n ", "One two", "one  TWO", "a b c d e", "A\tb c d e", "a b c d e f", "a b c d e f g", "a b c d e f g h", "a b c d e f g h i", "é", "w " * 30_000, "w " * 40_000]
@@ -61,6 +62,19 @@ def test_heads_never_rule_out_a_link():
     assert dropped > 500
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng, join = random.Random(6), j.Join(5, 4, 5)
+    sets = [shingle_set(t.encode(), 5) for t in [*variants(rng, 30), *templates(rng, 20), *variants(rng, 8, 66), *variants(rng, 8, 700), *("w " * n + "end" for n in range(1, 9))]]
+    bits = [j.bitmap(j.least_hashes(s)) for s in sets]
+    ids, comps, side = np.arange(len(sets)) + 100, np.arange(len(sets)) % 7, np.arange(len(sets)) % 2
+    sizes = np.array([len(s) for s in sets])
+    for sides in (None, side):
+        asked = [(a, b) for a, b in combinations(range(len(sets)), 2) if comps[a] != comps[b] and (sides is None or side[a] != side[b])]
+        got = {tuple(x) for x in j.pairs_left(ids, comps, sizes, bits, join, sides).tolist()}
+        linked = {(a + 100, b + 100) for a, b in asked if join.linked(sets[a], sets[b])}
+        assert linked <= got <= {(a + 100, b + 100) for a, b in asked} and len(linked) > 20 and len(got) < len(asked) / 2
+
+
 def test_rows_that_share_an_id_and_odd_rows(spark):
     base = [f"w{i}" for i in range(60)]
     one, other = " ".join(base), " ".join(f"v{i}" for i in range(60))
@@ -78,7 +92,7 @@ def test_a_passage_of_very_many_documents_gathers_few(spark):
     docs = rows(spark, list(enumerate(texts)))
     join = j.Join(5, 4, 5)
     j.prepare(spark)
-    signed = docs.select("doc_id", "text").mapInArrow(j._heads(join), "id long, n_shingles long, class binary, head array<long>")
+    signed = docs.select("doc_id", "text").mapInArrow(j._heads(join), "id long, n_shingles long, class binary, head array<long>, bits binary")
     held = j.signatures(docs, signed, join)
     assert held.groupBy("key").count().where(f"count > {j.FREQUENT[0]}").count() == 0
     assert held.select("id").distinct().count() == 200
