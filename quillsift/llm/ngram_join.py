@@ -24,7 +24,8 @@ most signatures with, then those of other components. Heads bound a pair's overl
 exactly; the others are verified on whole sets, which move once, to the smaller id. Members that stay in different
 components of one signature have bitmaps of their sets compared in blocks of BLOCK inside tasks, which give out pairs alone:
 a bit that only one of two sets has proves a token that the other one lacks. Of signatures with the same members one is
-enough; what the bitmaps leave is bounded by heads and verified as before.
+enough. Pairs that the bitmaps leave are verified on whole sets where they met: a set goes once to each of its blocks
+however many partners it has there. Pairs with a set of more than LONG tokens are bounded by heads and verified as before.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a null doc_id is linked with nothing
 and has a null component; rows that share a doc_id are one document that has each of their texts; an empty table gives
@@ -53,6 +54,10 @@ FREQUENT = (64, 4096)
 SPREAD = 4
 #: Members of one signature whose bitmaps a task compares with those of as many others.
 BLOCK = 256
+#: Bits of a bitmap for each token, and twice that at most.
+BITS = 4
+#: Tokens of the largest set that is verified among a block's; twice BLOCK of these (128 MB) are held at a time.
+LONG = 1 << 15
 
 
 class Join:
@@ -233,8 +238,9 @@ def _values(k: int):
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """A set as bits, one to two for each token in a power of two (64 at least), so that halves can be laid on each other."""
-    bits = np.zeros(max(64, 1 << (len(tokens) - 1).bit_length()), bool)
+    """A set as a power of two of bits (64 at least), BITS to twice that for each token, so that halves can be laid on each
+    other."""
+    bits = np.zeros(max(64, BITS << (len(tokens) - 1).bit_length()), bool)
     bits[tokens & (len(bits) - 1)] = True
     return bits
 
@@ -265,15 +271,36 @@ def _blocks(join: Join):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
-            for (_, i, j), rows in groups(batches, ["key", "i", "j"]):
+            for (key, i, j), rows in groups(batches, ["key", "i", "j"]):
                 if rows.num_rows < 2:
                     continue
                 bits = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)).view(bool) for x in rows.column("bits")]
                 ids, comps, sizes, side = (rows.column(c).to_numpy() for c in ("id", "component", "n_shingles", "own"))
                 found = pairs_left(ids, comps, sizes, bits, join, side if i != j else None)  # pairs within a block meet in (i, i)
-                yield [np.minimum(found[:, 0], found[:, 1]), np.maximum(found[:, 0], found[:, 1])]
+                order = np.argsort(ids, kind="stable")
+                size = np.maximum.reduceat(sizes[order], np.unique(ids[order], return_index=True)[1])  # sets that share an id
+                most = size[np.searchsorted(np.unique(ids), found)].max(axis=1)
+                yield [found.min(axis=1), found.max(axis=1), most, *(np.full(len(found), x, np.int64) for x in (key, i, j))]
 
-        yield from _rows(parts(), ["a", "b"])
+        yield from _rows(parts(), ["a", "b", "most", "key", "i", "j"])
+
+    return released(run)
+
+
+def _linked(join: Join):
+    """Rows (key, i, j, id, others, values), sorted by block, to the links (u, v) among each id and its others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for _, rows in groups(batches, ["key", "i", "j"]):
+                sets, asked = {}, set()
+                for i, others, values in zip(rows.column("id").to_pylist(), rows.column("others").to_pylist(), rows.column("values")):
+                    sets.setdefault(i, []).append(np.frombuffer(values.as_buffer(), np.uint64))
+                    asked |= {(i, other) for other in others}
+                found = [p for p in asked if any(join.linked(x, y) for x in sets[p[0]] for y in sets[p[1]])]
+                yield [np.array([p[x] for p in found], np.int64) for x in (0, 1)]
+
+        yield from _rows(parts(), ["u", "v"])
 
     return released(run)
 
@@ -332,11 +359,26 @@ def linked_components(docs: DataFrame, reps: DataFrame, join: Join) -> DataFrame
     # two that no link was found for may have met already; that is rare and found once more
     apart = apart.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     comp = _joined(comp, _verified(docs, reps, apart, join))
-    return _joined(comp, _verified(docs, reps, _pairs_left(reps, buckets, comp, join), join))
+    left = _pairs_left(reps, buckets, comp, join)
+    long = left.where(F.col("most") > LONG).select("a", "b")
+    if not long.isEmpty():
+        comp = _joined(comp, _verified(docs, reps, long, join))
+    return _joined(comp, _links_left(docs, left.where(F.col("most") <= LONG), join))
+
+
+def _links_left(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """Links (u, v) among pairs (a, b, key, i, j): both sets meet in that block."""
+    place = ["key", "i", "j"]
+    members = pairs.select(*place, F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(*place, F.col("b").alias("id"), F.lit(None).cast("long").alias("other")))
+    members = written(members.groupBy(*place, "id").agg(F.collect_set("other").alias("others")), "meet")  # the others of one block
+    sets = _shingle_sets(docs, members.select("id").distinct(), join.k)
+    met = members.join(sets, "id").repartition(*place).sortWithinPartitions(*place)
+    return written(met.mapInArrow(_linked(join), "u long, v long"), "links")
 
 
 def _pairs_left(reps: DataFrame, buckets: DataFrame, comp: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b) that share a signature, are in different components, and may be linked by their bitmaps."""
+    """Pairs (a, b, most, key, i, j) that share a signature, are in different components, and may be linked by their
+    bitmaps: the size of the larger set, and a block where they met."""
     own = buckets.where("id <> a").select("id", "key").join(comp.withColumnRenamed("node", "id"), "id", "left")
     own = written(own.withColumn("component", F.coalesce("component", "id")), "members")
     same = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
@@ -346,7 +388,8 @@ def _pairs_left(reps: DataFrame, buckets: DataFrame, comp: DataFrame, join: Join
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component").join(reps.select("id", "n_shingles", "bits"), "id")
     met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return written(met.mapInArrow(_blocks(join), "a long, b long").distinct(), "left")
+    found = met.mapInArrow(_blocks(join), "a long, b long, most long, key long, i long, j long")
+    return written(found.groupBy("a", "b").agg(F.max("most").alias("most"), F.min(F.struct("key", "i", "j")).alias("at")).select("a", "b", "most", "at.*"), "left")
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -356,6 +399,15 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return written(components(links.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
 
 
+def representatives(signed: DataFrame) -> DataFrame:
+    """(id, n_shingles, head, bits) of each class, with its smallest id. Rows that are alone in their class stay in the scan."""
+    again = written(signed.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("class").alias("h")), "again")
+    clear, maybe = Filter(again, again.count()).split(signed.select(F.col("doc_id").alias("id"), "n_shingles", "class", "head", "bits"), F.xxhash64("class"))
+    held = F.struct("n_shingles", "head", "bits")
+    firsts = maybe.groupBy("class").agg(F.min("id").alias("id"), F.any_value(held).alias("x")).select("id", "x.*")
+    return clear.drop("class").unionByName(written(firsts, "classes"))
+
+
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs; links need Jaccard >= num / den."""
     prepare(docs.sparkSession)
@@ -363,10 +415,9 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataF
     signed = docs.select("doc_id", "text").mapInArrow(_heads(join), "doc_id long, n_shingles long, class binary, head array<long>, bits binary")
     signed = written(signed, "heads")
     some = signed.where("class is not null and doc_id is not null")
-    held = F.struct("n_shingles", "head", "bits")
-    classes = written(some.groupBy("class").agg(F.min("doc_id").alias("id"), F.any_value(held).alias("x")).select("class", "id", "x.*"), "classes")
-    comp = linked_components(docs, classes.drop("class"), join)
-    labels = classes.select("class", "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    comp = linked_components(docs, representatives(some), join)
+    classes = some.groupBy("class").agg(F.min("doc_id").alias("id"))
+    labels = classes.join(comp.withColumnRenamed("node", "id"), "id", "left")
     labels = written(labels.select("class", F.coalesce("component", "id").alias("component_id")), "labels")
     linked = some.select("doc_id", "n_shingles", "class").join(labels, "class").drop("class")
     alone = signed.where("class is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
