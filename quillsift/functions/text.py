@@ -77,14 +77,16 @@ def extension(name: Column, is_dir: Column) -> Column:
 
 
 def size_text(size: Column) -> Column:
-    """Three figures and a unit: bytes, then steps of 1024 from 1000 on."""
+    """Three figures and a unit: bytes, then steps of 1024 from 1000 on. A half goes to the even figure, as printf does it;
+    format_string alone rounds it up."""
     out, value = None, size.cast("double")
+    figures = lambda n: F.format_string(f"%.{n}f", F.bround(value, n))
     for unit in ("B", "KB", "MB", "GB", "TB", "PB"):
-        shown = F.when(F.lit(unit == "B") | (value >= 100), F.format_string("%.0f", value)).when(value >= 10, F.format_string("%.1f", value)).otherwise(F.format_string("%.2f", value))
+        shown = F.when(F.lit(unit == "B") | (value >= 100), figures(0)).when(value >= 10, figures(1)).otherwise(figures(2))
         shown = F.concat(shown, F.lit(f" {unit}"))
         out = F.when(value < 1000, shown) if out is None else out.when(value < 1000, shown)
         value = value / 1024
-    return out.otherwise(F.concat(F.format_string("%.0f", value * 1024), F.lit(" PB")))
+    return out.otherwise(F.concat(F.format_string("%.0f", F.bround(value * 1024, 0)), F.lit(" PB")))
 
 
 def markup_text(html: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import quillsift.details as details
 from quillsift import queries
+from quillsift.functions import text as T
 from quillsift.operators import content, refine
 from quillsift.plans import query as Q
 from quillsift.sources import export
@@ -103,3 +104,10 @@ def test_report_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "snap")).exceptAll(df).isEmpty()
     with pytest.raises(Exception, match="already exists"):
         export.snapshot(df, str(tmp_path / "snap"))
+
+
+def test_halves_go_to_the_even_figure(spark):
+    """As printf rounds them: 180.5, 181.5, 10.25, 10.75 and 1.125 KB."""
+    sizes = (184832, 185856, 10496, 11008, 1152)
+    row = spark.range(1).select(*[T.size_text(F.lit(n)).alias(f"s{i}") for i, n in enumerate(sizes)]).first()
+    assert list(row) == ["180 KB", "182 KB", "10.2 KB", "10.8 KB", "1.12 KB"]
