@@ -39,7 +39,9 @@ def _lines_sql(where: str) -> str:
 
 def _regex(name: str, text: str, where: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").withColumn("doc", F.col("doc_id"))
+        docs, ways = table(spark, sf_dir, "documents").withColumn("doc", F.col("doc_id")), content.pattern(text)
+        if content.gram_plan(content.need(ways)).kind == "any":  # every text must be read: no index is made for that
+            return docs.where(content.matches(F.col("text"), ways)).select("doc_id", "lang")
         return text_index(spark, sf_dir, "documents", "doc_id").search(docs, text).select("doc_id", "lang")
 
     register(name, f"SELECT doc_id, lang FROM documents WHERE coalesce({_lines_sql(where)}, FALSE)")(run)

@@ -186,3 +186,10 @@ def test_grams_reach_the_scan(spark, tmp_path):
     index.apply(spark.createDataFrame([(1, "amber", False, 0)], CHANGE), 0)
     plan = index.hits(content.need([["amber"]]))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(gram, [amb,ber,mbe])" in plan
+
+
+def test_a_search_that_reads_every_text_makes_no_index(spark, sf_dir, monkeypatch):
+    from quillsift import indexed, queries
+
+    monkeypatch.setattr(indexed, "text_index", lambda *a: pytest.fail("an index was made"))
+    assert queries.QUERIES["content_regex_unpruned"](spark, sf_dir).count() >= 0
