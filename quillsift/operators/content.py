@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.operators.gramlists import gram_lists
 from quillsift.plans.regexneed import ANY, Need, either, every, literal, need_of
 
 MAX_NEEDLES = 32
@@ -31,7 +32,7 @@ def grams(text: Column) -> Column:
     two = F.zip_with(chars, later(1), lambda a, b: F.concat(a, b))
     three = F.zip_with(two, later(2), lambda a, b: F.concat(a, b))
     ascii_only = F.filter(three, lambda g: F.octet_length(g) + F.length(g) == 6)
-    han = F.filter(F.concat(chars, two), lambda g: g.rlike(f"^{_HAN}{{1,2}}$"))
+    han = F.filter(F.concat(chars, two), lambda g: g.rlike(rf"^{_HAN}{{1,2}}\z"))
     return F.array_distinct(F.concat(ascii_only, F.when(text.rlike(_HAN), han).otherwise(F.array().cast("array<string>"))))
 
 
@@ -43,7 +44,7 @@ def contents(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
 
 def postings(distinct: DataFrame) -> DataFrame:
     """(gram, content_id), to be written sorted by gram: Parquet's row group statistics then skip other grams."""
-    return distinct.select(F.explode(grams(F.col("text"))).alias("gram"), "content_id")
+    return gram_lists(distinct, "content_id", normal(F.col("text"))).select("gram", F.explode("keys").alias("content_id"))
 
 
 def write_postings(index: DataFrame, path: str) -> None:
@@ -81,19 +82,34 @@ def grams_of_plan(plan: Need) -> list[str]:
     return [plan.text] if plan.kind == "literal" else sorted({g for p in plan.parts for g in grams_of_plan(p)})
 
 
-def plan_column(plan: Need, held: Column) -> Column:
+def plan_column(plan: Need, held: dict[str, Column]) -> Column:
+    """Whether a plan is true, by a Column for each gram that it names."""
     if plan.kind == "literal":
-        return F.array_contains(held, plan.text)
+        return held[plan.text]
     return reduce(Column.__and__ if plan.kind == "all" else Column.__or__, [plan_column(p, held) for p in plan.parts])
 
 
+#: Grams of a plan that one number marks.
+_MARKS = 62
+
+
+def holding(rows: DataFrame, plan: Need, **keys: Column) -> DataFrame:
+    """The keys, told from rows (gram, ...), whose grams make a plan true."""
+    grams = grams_of_plan(plan)
+    parts = {f"_m{i}": grams[i : i + _MARKS] for i in range(0, len(grams), _MARKS)}
+    bit = lambda part: F.get(F.array(*[F.lit(1 << n).cast("long") for n in range(len(part))]), F.array_position(F.array(*[F.lit(g) for g in part]), F.col("gram")).cast("int") - 1)
+    marked = rows.where(F.col("gram").isin(grams)).select(*[c.alias(k) for k, c in keys.items()], *[bit(part).alias(m) for m, part in parts.items()])
+    held = marked.groupBy(*keys).agg(*[F.coalesce(F.bit_or(m), F.lit(0)).alias(m) for m in parts])
+    found = {g: F.col(m).bitwiseAND(F.lit(1 << n).cast("long")) != 0 for m, part in parts.items() for n, g in enumerate(part)}
+    return held.where(plan_column(plan, found)).select(*keys)
+
+
 def candidates(index: DataFrame, ways: list[list[str]]) -> DataFrame | None:
     """content_id of the texts that have the grams which a search needs; None if it needs none, when every text is read."""
     plan = gram_plan(need(ways))
     if plan.kind == "any":
         return None
-    rows = index.where(F.col("gram").isin(grams_of_plan(plan)))
-    return rows.groupBy("content_id").agg(F.collect_set("gram").alias("g")).where(plan_column(plan, F.col("g"))).select("content_id")
+    return holding(index, plan, content_id=F.col("content_id"))
 
 
 #: Ways that alternatives inside a way (a|b) may make together.

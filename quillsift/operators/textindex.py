@@ -1,8 +1,8 @@
 """An inverted index of grams that follows its documents batch by batch.
 
 The index is a folder of segments. Segment `seg-<a>-<b>` holds what batches a to b changed: `versions` (doc, seq, deleted),
-the last version of each document that they touched, and `postings` (gram, doc, seq) of its text, sorted by gram. A
-segment counts from the moment its versions are complete, and no longer once a complete one covers its batches: so a
+the last version of each document that they touched, and `postings` (gram, seq, docs) of its text, sorted by gram: a
+gram's documents stand in lists, one for each batch of rows that a task read together. A segment counts from the moment its versions are complete, and no longer once a complete one covers its batches: so a
 writer that dies leaves nothing behind that is read, and a merge replaces its parts in one step. Readers merge: a hit
 holds unless a later segment has a newer version of its document; a removed document is a version without postings.
 
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.operators import content
+from quillsift.operators.gramlists import gram_lists
 from quillsift.plans.regexneed import Need
 from quillsift.sources.stored import Folder
 
@@ -55,7 +56,8 @@ class TextIndex:
     def _write(self, a: int, b: int, postings: DataFrame, versions: DataFrame) -> None:
         at = f"{self.path}/seg-{a}-{b}"
         # documents part a gram that nearly all of them have
-        postings.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").write.mode("overwrite").parquet(f"{at}/postings")
+        place = ["gram", F.get("docs", F.lit(0))]
+        postings.repartitionByRange(*place).sortWithinPartitions(*place).write.mode("overwrite").parquet(f"{at}/postings")
         versions.write.mode("overwrite").parquet(f"{at}/versions")  # the last: from here on the segment counts
 
     # ---- writing
@@ -65,10 +67,11 @@ class TextIndex:
         if batch <= self.indexed_to:
             return
         dead = F.coalesce("deleted", F.lit(False))
-        last = changes.where("doc IS NOT NULL").groupBy("doc").agg(F.max(F.struct(F.col("at"), dead.alias("deleted"), F.coalesce("text", F.lit("")).alias("text"))).alias("c"))
-        last = last.select("doc", F.lit(batch).cast("long").alias("seq"), "c.deleted", "c.text")
-        postings = last.where("NOT deleted").select(F.explode(content.grams(F.col("text"))).alias("gram"), "doc", "seq")
-        self._write(batch, batch, postings, last.select("doc", "seq", "deleted"))
+        known, seq = changes.where("doc IS NOT NULL").groupBy("doc"), F.lit(batch).cast("long").alias("seq")
+        last = known.agg(F.max(F.struct(F.col("at"), dead.alias("deleted"), F.coalesce("text", F.lit("")).alias("text"))).alias("c"))
+        lists = gram_lists(last.where("NOT c.deleted").select("doc", "c.text").sortWithinPartitions("doc"), "doc", content.normal(F.col("text")))
+        versions = known.agg(F.max(F.struct(F.col("at"), dead.alias("deleted"))).alias("c"))  # no text has to move for these
+        self._write(batch, batch, lists.select("gram", seq, F.col("keys").alias("docs")), versions.select("doc", seq, "c.deleted"))
 
     def follow(self):
         """For foreachBatch."""
@@ -82,7 +85,7 @@ class TextIndex:
         if len(parts) < 2:
             return
         versions = self._read("versions", parts).groupBy("doc").agg(F.max(F.struct("seq", "deleted")).alias("v")).select("doc", "v.*")
-        postings = self._current(self._read("postings", parts), parts)
+        postings = self._without_stale(self._read("postings", parts), parts)
         self._write(parts[0][0], parts[-1][1], postings, versions if tail_only else versions.where("NOT deleted"))
 
     def vacuum(self) -> None:
@@ -109,19 +112,30 @@ class TextIndex:
         newer = later.select(F.col("doc").alias("_doc"), F.col("seq").alias("_seq"))
         return rows.join(newer, (F.col("doc") == F.col("_doc")) & (F.col("seq") < F.col("_seq")), "left_anti")
 
+    def _without_stale(self, lists: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+        """Lists (gram, seq, docs) without the documents of which a later segment has a newer version. Only lists that have
+        such documents change; those that are left empty go."""
+        versions = self._read("versions", parts)
+        stale = versions.join(self._current(versions, parts), ["doc", "seq"], "left_anti").where("NOT deleted").select("doc", "seq")
+        place = ["gram", "seq", "_first"]  # a document is in one list of a gram and a version
+        lists = lists.withColumn("_first", F.get("docs", F.lit(0)))
+        gone = lists.select(*place, F.explode("docs").alias("doc")).join(stale, ["doc", "seq"], "left_semi")
+        gone = gone.groupBy(*place).agg(F.collect_list("doc").alias("_gone"))  # no more than a list has
+        kept = F.when(F.col("_gone").isNull(), F.col("docs")).otherwise(F.array_except("docs", "_gone"))
+        return lists.join(gone, place, "left").select("gram", "seq", kept.alias("docs")).where(F.size("docs") > 0)
+
     def postings(self) -> DataFrame | None:
         """(gram, doc, seq) of the documents' last versions."""
         parts = self.segments()
-        return self._current(self._read("postings", parts), parts) if parts else None
+        return self._current(self._read("postings", parts).select("gram", F.explode("docs").alias("doc"), "seq"), parts) if parts else None
 
     def hits(self, need: Need) -> DataFrame | None:
         """Documents whose last indexed version has the grams that a need asks for; None where it asks for none."""
         plan, parts = content.gram_plan(need), self.segments()
         if plan.kind == "any" or not parts:
             return None
-        rows = self._read("postings", parts).where(F.col("gram").isin(content.grams_of_plan(plan)))
-        held = rows.groupBy("doc", "seq").agg(F.collect_set("gram").alias("g")).where(content.plan_column(plan, F.col("g")))  # as many as the plan has
-        return self._current(held.select("doc", "seq"), parts).select("doc")
+        held = content.holding(self._read("postings", parts), plan, doc=F.explode("docs"), seq=F.col("seq"))
+        return self._current(held, parts).select("doc")
 
     def search(self, docs: DataFrame, query: str, changed: DataFrame | None = None, complete: bool = True) -> DataFrame:
         """Rows of docs (doc, text, ...) that match a content search. The index rules documents out; `changed` (doc) are

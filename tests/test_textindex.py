@@ -188,6 +188,34 @@ def test_grams_reach_the_scan(spark, tmp_path):
     assert "PushedFilters: [In(gram, [amb,ber,mbe])" in plan
 
 
+def test_a_gram_has_lists_of_documents(spark, tmp_path):
+    """One row for a gram of a batch, not one for each document that has it."""
+    index = TextIndex(spark, str(tmp_path / "i"))
+    index.apply(spark.createDataFrame([(i, "amber flint", False, 0) for i in range(400)], CHANGE).coalesce(1), 0)
+    rows = spark.read.parquet(f"{index.path}/seg-0-0/postings")
+    assert index.postings().count() == 400 * 9 and rows.count() <= 9 * 4  # 9 grams, 4 tasks
+
+
+@pytest.mark.parametrize("step,most", [(1, 2), (7, 3), (1 << 20, 1 << 10)])
+def test_grams_are_whole_where_texts_are_cut(step, most):
+    """Windows of a text and of a batch lose no gram and make none up."""
+    import pyarrow as pa
+
+    from quillsift.operators import gramlists
+
+    rng = random.Random(5)
+    texts = [None, "", "ab", "報告", "é abc é", "x" * 30, "花", *("".join(rng.choice("ab 花崗岩é𠀀\x01~") for _ in range(rng.randrange(40))) for _ in range(60))]
+    want = set()
+    for i, t in enumerate(texts):
+        t = t or ""
+        han = ["一" <= c <= "鿿" for c in t]
+        want |= {(t[k : k + 3], i) for k in range(len(t) - 2) if all(" " <= c <= "~" for c in t[k : k + 3])}
+        want |= {(t[k : k + n], i) for n in (1, 2) for k in range(len(t) - n + 1) if all(han[k : k + n])}
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["key", "text"])
+    got = [(g, i) for b in gramlists._lists(step, most)([batch.slice(0, 40), batch.slice(40)]) for g, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i in keys]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_a_search_that_reads_every_text_makes_no_index(spark, sf_dir, monkeypatch):
     from quillsift import indexed, queries
 
