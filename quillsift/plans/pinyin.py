@@ -3,7 +3,7 @@
 Each Han character of a name matches a non-empty beginning of one of its readings, every other ASCII character itself.
 The readings are a relation (char, reading, place), place 1 the most common one; it is joined to names by character once,
 and gives each name `sounds`: for every code point the strings that may stand for it. A term is then aligned by folding
-over the code points with a bit for each place of the term that has been reached, so the cost is bounded by the name's
+over the code points, once for each different name, with a bit for each place of the term that has been reached, so the cost is bounded by the name's
 and the term's lengths, whatever the readings; where the alignment starts and ends, and whether the most common
 readings suffice, is part of the answer.
 """
@@ -99,6 +99,17 @@ def graded(name: Column, sounds: Column, term: str) -> Column:
     return F.when(sounds.isNotNull(), F.element_at(F.transform(F.array(both), told), 1))
 
 
+def with_heard(rows: DataFrame, readings: DataFrame, terms: list[str]) -> DataFrame:
+    """rows (name, ...) with `sounds`, a map from each term to where and how well (see graded) the name sounds like it; null
+    where it sounds like none. Terms are aligned once with each different name, however many rows have it."""
+    han = F.coalesce(F.col("name").rlike(HAN), F.lit(False))
+    names = with_sounds(rows.where(han).select("name").distinct(), readings)
+    each = names.select(F.col("name").alias("_name"), *[graded(F.col("name"), F.col("sounds"), t).alias(t) for t in terms])
+    told = each.where(F.coalesce(*terms).isNotNull()).select("_name", F.create_map(*[c for t in terms for c in (F.lit(t), F.col(t))]).alias("sounds"))
+    heard = rows.where(han).join(told, F.col("name") == F.col("_name"), "left").select(*rows.columns, "sounds")
+    return heard.unionByName(rows.where(~han).withColumn("sounds", F.lit(None).cast(told.schema["sounds"].dataType)))
+
+
 #: Readings of a whole text that are searched for where the text itself is found nowhere.
 MOST_READINGS = 8
 

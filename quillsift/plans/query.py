@@ -213,7 +213,7 @@ class Fields:
     is_dir: Column
     size: Column
     modified: Column
-    sounds: Column | None = None  # what may stand for each code point of the name, where readings were joined
+    sounds: Column | None = None  # terms to how the name sounds like them, where readings were joined
 
 
 def fields(prefix: str = "", sounds: bool = False) -> Fields:
@@ -244,7 +244,7 @@ def _name_hit(term: Term, f: Fields) -> Column:
     if term.negated or term.exact:
         return hit
     if f.sounds is not None and pinyin.is_term(term.text):
-        hit = hit | F.coalesce(pinyin.span(f.sounds, term.text).isNotNull(), F.lit(False))
+        hit = hit | f.sounds.getItem(term.text).isNotNull()
     if initials := T.initials_regex(term.text):
         hit = hit | (f.ext.isin(PROGRAMS) & f.name.rlike(initials))
     return hit
@@ -353,8 +353,9 @@ def exact_name(ways: list[Way], f: Fields) -> Column:
 
 
 def heard(entries, ways: list[Way], readings):
-    """entries with what their names' characters may sound like, where a text has a word that may be meant so."""
-    return pinyin.with_sounds(entries, readings) if readings is not None and any(t.kind == "word" and pinyin.is_term(t.text) for w in ways for t in w.positive) else entries
+    """entries with how their names sound like a text's words, where it has words that may be meant so."""
+    terms = sorted({t.text for w in ways for t in w.positive if t.kind == "word" and not t.exact and pinyin.is_term(t.text)})
+    return pinyin.with_heard(entries, readings, terms) if readings is not None and terms else entries
 
 
 def search(entries, text: str, regex_mode: bool = False, now: dt.datetime | None = None, readings=None, fallback: bool = True):

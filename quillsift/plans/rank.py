@@ -23,7 +23,7 @@ def _heard(term: Term, f: Fields) -> Column | None:
     """Where and how well a word that is not in the name sounds like it."""
     if f.sounds is None or term.exact or not pinyin.is_term(term.text):
         return None
-    return F.when(~F.contains(f.name_folded, F.lit(term.text)), pinyin.graded(f.name, f.sounds, term.text))
+    return F.when(~F.contains(f.name_folded, F.lit(term.text)), f.sounds.getItem(term.text))
 
 
 def _points(term: Term, f: Fields) -> tuple[Column, Column]:
@@ -119,21 +119,19 @@ def scored(entries: DataFrame, text: str, readings: DataFrame | None = None) ->
     are read as they sound, and each entry has the best score of the readings that find it, as approximate."""
     ways = Q.parse(text)
 
-    def found(some: list[Way]) -> DataFrame:
-        rows = Q.heard(entries, some, readings)
+    def found(some: list[list[Way]]) -> DataFrame:
+        rows = Q.heard(entries, [w for ways in some for w in ways], readings)
         f = fields(sounds="sounds" in rows.columns)
-        hits = rows.where(Q.predicate(some, f)).withColumn("score", score(some, f))
-        return hits.select(*entries.columns, "score")
+        each = [F.when(Q.predicate(w, f), score(w, f)) for w in some]
+        return rows.withColumn("score", F.greatest(*each) if len(each) > 1 else each[0]).where("score IS NOT NULL").select(*entries.columns, "score")
 
-    first = found(ways)
+    first = found([ways])
     if readings is None or not first.isEmpty():
         return first.withColumn("approximate", F.lit(False))
     second = Q.homophones(text, readings)
     if not second:
         return first.withColumn("approximate", F.lit(False))
-    rows = reduce(DataFrame.unionByName, [found(w) for w in second])
-    best = rows.groupBy("id").agg(F.max("score").alias("score"))
-    return entries.join(best, "id").withColumn("approximate", F.lit(True)).select(*entries.columns, "score", "approximate")
+    return found(second).withColumn("approximate", F.lit(True))
 
 
 def answer(df: DataFrame, after: int | None, size: int) -> DataFrame:

@@ -40,13 +40,11 @@ def sounding(spark, sf_dir):
 
 @register("name_score_pinyin", _PINYIN_SQL)
 def name_score_pinyin(spark, sf_dir):
-    rows = sounding(spark, sf_dir)
-    out, known = None, readings_table(spark)
-    for term in ("bg", "xie", "lvse", "luse", "chongqing", "yinh", "bg2"):
-        hits = Q.search(rows, term, readings=known)
-        one = hits.select(F.col("id").alias("p_partkey"), F.lit(term).alias("term"), rank.score(Q.parse(term), Q.fields(sounds=True)).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Several texts over names that are heard once for all of them."""
+    texts, f = {t: Q.parse(t) for t in ("bg", "xie", "lvse", "luse", "chongqing", "yinh", "bg2")}, Q.fields(sounds=True)
+    rows = Q.heard(sounding(spark, sf_dir), [w for ways in texts.values() for w in ways], readings_table(spark))
+    each = F.array(*[F.struct(F.lit(t).alias("term"), F.when(Q.predicate(ways, f), rank.score(ways, f)).alias("score")) for t, ways in texts.items()])
+    return rows.select(F.col("id").alias("p_partkey"), F.inline(each)).where("score IS NOT NULL")
 
 
 _PRIORITIES = ["1-urgent", "2-high", "3-medium", "4-not specified", "5-low"]

@@ -90,3 +90,13 @@ def test_pages_say_whether_there_is_more(spark):
     rows = spark.range(1, 8)
     told = lambda after, size: [(r.id, r.next_cursor, r.truncated) for r in rank.answer(rows, after, size).collect()]
     assert told(None, 3) == [(1, 3, True), (2, 3, True), (3, 3, True)] and told(3, 4) == [(i, None, False) for i in (4, 5, 6, 7)] and told(7, 2) == []
+
+
+def test_names_are_heard_once(spark):
+    """Copies of a name share its alignment: nothing above the join with the different names aligns again."""
+    nodes = [(1, None, "D:", True)] + [(10 + i, 1, ["水果.txt", "shui.txt", "山水果.md"][i % 3], False) for i in range(30)]
+    entries = derived(with_paths(spark.createDataFrame([(*r, 1, 1, 1) for r in nodes], "id long, parent_id long, name string, is_dir boolean, size long, modified long, created long")))
+    hits = Q.search(entries, "shuig", readings=readings(spark)).withColumn("score", rank.score(Q.parse("shuig"), Q.fields(sounds=True)))
+    assert sorted((r.name, r.score) for r in hits.collect()) == [("山水果.md", 4 + 12)] * 10 + [("水果.txt", 26 + 40 + 15)] * 10
+    above = hits._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "sounds" in above and "lambda" not in above
