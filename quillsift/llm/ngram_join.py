@@ -19,10 +19,10 @@ more. Documents that have too few rare tokens there ("poor" ones) bring their wh
 counts as frequent too, and documents that are poor by then look all their tokens' classes up. A class's parts follow the size of the sets, in ranges that double; a set near the end of a range joins the next too.
 Where sets are too small to be told by combinations (below four tokens at 0.8), frequent tokens stand alone.
 
-Candidates are the members of a signature with its smallest id (a star). Each document first meets the one that it shares
+Candidates are the members of a signature with its smallest id (a star), where their sizes allow a link. Each document first meets the one that it shares
 most signatures with, then those of other components. Heads bound a pair's overlap from above, which drops most pairs
 exactly; the others are verified on whole sets, which move once, to the smaller id. Members that stay in different
-components of one signature have bitmaps of their sets compared in blocks of BLOCK inside tasks, which give out pairs alone:
+components of one signature, in one range of sizes or two neighbouring ones, have bitmaps of their sets compared in blocks of BLOCK inside tasks, which give out pairs alone:
 a bit that only one of two sets has proves a token that the other one lacks. Of signatures with the same members one is
 enough. Pairs that the bitmaps leave are verified on whole sets where they met: a set goes once to each of its blocks
 however many partners it has there. Pairs with a set of more than LONG tokens are bounded by heads and verified as before.
@@ -34,6 +34,7 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -85,6 +86,12 @@ class Join:
         """Size ranges [2^r, 2^(r+1)) of a set of n and of the largest set that it can be linked with."""
         return {n.bit_length() - 1, (n * self.den // self.num).bit_length() - 1}
 
+    @property
+    def width(self) -> float:
+        """Width of ranges of the logarithm of sizes, so that linked sets are in one or in neighbouring ones whatever the
+        last digits of their logarithms are."""
+        return max(0.2, 1.001 * math.log(self.den / self.num))
+
     def parts(self, r: int) -> int:
         return max(1, self.needed(1 << r) // SPREAD)
 
@@ -346,10 +353,13 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, join: Join) ->
 
 def linked_components(docs: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
     """(node, component) of representatives (id, n_shingles, head, bits) that are linked with others."""
-    held = signatures(docs, reps, join)
-    stars = written(held.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key", "a"), "stars")
+    sizes = reps.groupBy("id").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))  # sets that share an id
+    held = written(signatures(docs, reps, join).join(sizes, "id"), "held")
+    stars = held.groupBy("key").agg(F.min(F.struct("id", "lo", "hi")).alias("s"), F.max("id").alias("b")).where("s.id < b")
+    stars = written(stars.select("key", F.col("s.id").alias("a"), F.col("s.lo").alias("lo_a"), F.col("s.hi").alias("hi_a")), "stars")
     buckets = written(held.join(stars, "key"), "buckets")
-    met = buckets.where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    alike = (F.col("hi") * join.den >= F.col("lo_a") * join.num) & (F.col("hi_a") * join.den >= F.col("lo") * join.num)
+    met = buckets.where((F.col("id") != F.col("a")) & alike).groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     met = written(met, "met")
     best = met.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
     links = _verified(docs, reps, best, join)
@@ -379,12 +389,16 @@ def _links_left(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
 def _pairs_left(reps: DataFrame, buckets: DataFrame, comp: DataFrame, join: Join) -> DataFrame:
     """Pairs (a, b, most, key, i, j) that share a signature, are in different components, and may be linked by their
     bitmaps: the size of the larger set, and a block where they met."""
-    own = buckets.where("id <> a").select("id", "key").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    own = written(own.withColumn("component", F.coalesce("component", "id")), "members")
+    at = lambda n: F.floor(F.log(n) / join.width)
+    size = F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")) + 1)).alias("size")
+    own = buckets.where("id <> a").select("id", "key", "lo", "hi").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    own = own.select("id", F.coalesce("component", "id").alias("component"), (at(F.col("hi")) + 1).alias("above"), "key", size)
+    # those of a range's sets and of the range below it that have the signature
+    own = written(own.select("id", "component", F.xxhash64("key", "size").alias("key"), (F.col("size") < F.col("above")).alias("inside")), "members")
     same = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
-    apart = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), *same)
-    apart = apart.where("lo < hi").groupBy("n", "lo", "hi", "s0", "s1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    members = own.join(written(apart, "apart"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    apart = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("inside").alias("inside"), *same)
+    apart = apart.where("lo < hi and inside").groupBy("n", "lo", "hi", "s0", "s1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    members = own.drop("inside").join(written(apart, "apart"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component").join(reps.select("id", "n_shingles", "bits"), "id")
     met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")

@@ -96,3 +96,13 @@ def test_a_passage_of_very_many_documents_gathers_few(spark):
     held = j.signatures(docs, signed, join)
     assert held.groupBy("key").count().where(f"count > {j.FREQUENT[0]}").count() == 0
     assert held.select("id").distinct().count() == 200
+
+
+def test_sizes_rule_pairs_out_before_sets_are_asked_for(spark, monkeypatch):
+    """Sets that share signatures but are too different in size are no pairs whose heads move."""
+    asked, verified = [], j._verified
+    monkeypatch.setattr(j, "_verified", lambda docs, reps, pairs, join: (asked.append(pairs.count()), verified(docs, reps, pairs, join))[1])
+    same = [f"s{i}" for i in range(24)]
+    rows = [(i, " ".join(same + [f"w{i}x{n}" for n in range(20 * 2**i)])) for i in range(6)]
+    got = j.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(asked) == 0 and all(r.component_id == r.doc_id for r in got)
