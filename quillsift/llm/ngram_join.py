@@ -16,16 +16,18 @@ nearly all of them, never make a combination and never meet in a frequent token.
 
 Frequency is counted exactly over all documents' heads, the first tokens by hash: as many as a prefix needs and an eighth
 more. Documents that have too few rare tokens there ("poor" ones) bring their whole sets; what is frequent among these
-counts as frequent too, and documents that are poor by then look all their tokens' classes up. A class's parts follow the size of the sets, in ranges that double; a set near the end of a range joins the next too.
+counts as frequent too. A token's kind is looked up where its set is, in bitmaps of the frequent tokens' hashes: one that only
+has a place in common with a frequent token counts as frequent in all sets alike, which keeps the one order that links need.
+A class's parts follow the size of the sets, in ranges that double; a set near the end of a range joins the next too.
 Where sets are too small to be told by combinations (below four tokens at 0.8), frequent tokens stand alone.
 
 Candidates are the members of a signature with its smallest id (a star), where their sizes allow a link. Each document first meets the one that it shares
-most signatures with, then those of other components. Heads bound a pair's overlap from above, which drops most pairs
-exactly; the others are verified on whole sets, which move once, to the smaller id. Members that stay in different
-components of one signature, in one range of sizes or two neighbouring ones, have bitmaps of their sets compared in blocks of BLOCK inside tasks, which give out pairs alone:
-a bit that only one of two sets has proves a token that the other one lacks. Of signatures with the same members one is
-enough. Pairs that the bitmaps leave are verified on whole sets where they met: a set goes once to each of its blocks
-however many partners it has there. Pairs with a set of more than LONG tokens are bounded by heads and verified as before.
+most signatures with, then those of other components. Bitmaps of two sets bound their overlap from above, which drops most
+pairs exactly: a bit that only one of them has proves a token that the other one lacks. The others are verified on whole
+sets, which move once, to the smaller id. Members that stay in different components of one signature, in one range of sizes
+or two neighbouring ones, have their bitmaps compared in blocks of BLOCK inside tasks, which give out pairs alone. Of
+signatures with the same members one is enough. Pairs that the bitmaps leave are verified on whole sets where they met: a set goes once to each of its blocks
+however many partners it has there. Pairs with a set of more than LONG tokens are verified as before.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a null doc_id is linked with nothing
 and has a null component; rows that share a doc_id are one document that has each of their texts; an empty table gives
@@ -57,6 +59,9 @@ SPREAD = 4
 BLOCK = 256
 #: Bits of a bitmap for each token, and twice that at most.
 BITS = 4
+#: Bits for each frequent and for each shared token in the bitmaps that tasks get, to a power of two, and at most (16 MB).
+#: Beyond it more tokens count as frequent, or are handed on as shared, and none fewer.
+FREQUENT_BITS, SHARED_BITS, MAX_BITS = 64, 16, 1 << 27
 #: Tokens of the largest set that is verified among a block's; twice BLOCK of these (128 MB) are held at a time.
 LONG = 1 << 15
 
@@ -168,29 +173,98 @@ def _rows(parts: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.Re
         yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], names)
 
 
+def _places(tokens: DataFrame, each: int) -> np.ndarray:
+    """Tokens as bits, `each` of them for one token; their number is a power of two, MAX_BITS at most."""
+    bits = min(MAX_BITS, max(1 << 15, 1 << (each * tokens.count() - 1).bit_length()))
+    at = F.pmod("token", F.lit(bits))
+    rows = tokens.groupBy(F.floor(at / 32768).alias("b")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(32768))).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.toLocalIterator():  # MAX_BITS bounds it
+        out[r.b * 4096 : (r.b + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def placed(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Which of the tokens have a place in the bitmap."""
+    at = tokens & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _frequent(frequent: DataFrame):
+    """Bitmaps of the tokens (token, n) of each frequent class and those above it, for tasks."""
+    bits = tuple(_places(frequent.where(F.col("n") > more).select("token"), FREQUENT_BITS) for more in FREQUENT)
+    return frequent.sparkSession.sparkContext.broadcast(bits)
+
+
+def kinds_of(bits: tuple[np.ndarray, ...], tokens: np.ndarray) -> np.ndarray:
+    first, second = (placed(b, tokens) for b in bits)
+    return first.astype(np.int64) + (first & second)
+
+
+class _Heads:
+    """Heads of a batch: their tokens, the row that each is of, and which of them are to be its row's prefix."""
+
+    def __init__(self, batch: pa.RecordBatch, bits: tuple[np.ndarray, ...], join: Join):
+        heads, self.sizes = column(batch, "head"), column(batch, "n_shingles").to_numpy()
+        self.tokens = heads.flatten().to_numpy()
+        lengths = heads.value_lengths().to_numpy()
+        self.row = np.repeat(np.arange(len(heads)), lengths)
+        need, rare = join.needed(self.sizes), ~placed(bits[0], self.tokens)
+        before = np.concatenate([[0], np.cumsum(rare)])
+        ends = np.cumsum(lengths)
+        self.poor = before[ends] - before[ends - lengths] < need
+        self.prefix = rare & (before[1:] - before[ends - lengths][self.row] <= need[self.row]) & ~self.poor[self.row]
+
+
+def _short(frequent, join: Join):
+    """Ids of the heads that have fewer rare tokens than a prefix needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([column(batch, "id").filter(pa.array(_Heads(batch, frequent.value, join).poor))], ["id"])
+
+    return released(run)
+
+
+def _plain(frequent, shared, join: Join):
+    """Rare tokens of the prefixes of documents that are not poor, where somebody else may have them too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for batch in batches:
+                heads = _Heads(batch, frequent.value, join)
+                some = heads.prefix & placed(shared.value, heads.tokens)
+                row, ids = heads.row[some], column(batch, "id").to_numpy()
+                yield [heads.tokens[some], ids[row], heads.sizes[row]]
+
+        yield from _rows(parts(), ["key", "id", "n"])
+
+    return released(run)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole sets (id, values) to rows (id, own, token): `own` tells the sets of one id apart."""
+    """Tokens of whole sets (id, values)."""
 
     def parts():
         for batch in batches:
-            for i, values in zip(column(batch, "id").to_pylist(), column(batch, "values")):
-                values = np.frombuffer(values.as_buffer(), np.uint64)
-                own, tokens = xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63), least_hashes(values)
+            for values in column(batch, "values"):
+                tokens = least_hashes(np.frombuffer(values.as_buffer(), np.uint64))
                 for at in range(0, len(tokens), _ROWS):
-                    some = tokens[at : at + _ROWS]
-                    yield [np.full(len(some), i, np.int64), np.full(len(some), own, np.int64), some]
+                    yield [tokens[at : at + _ROWS]]
 
-    yield from _rows(parts(), ["id", "own", "token"])
+    yield from _rows(parts(), ["token"])
 
 
-def _poor(join: Join):
-    """Rows (id, own, token, kind), sorted by set, to the signatures (key, id) of each."""
+def _poor(frequent, join: Join):
+    """Whole sets (id, values) to the signatures (key, id) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
-            for (i, _), rows in groups(batches, ["id", "own"]):
-                made = signatures_of(rows.column("token").to_numpy(), rows.column("kind").to_numpy(), join)
-                yield [np.array(made, np.int64), np.full(len(made), i, np.int64)]
+            for batch in batches:
+                for i, values in zip(column(batch, "id").to_pylist(), column(batch, "values")):
+                    tokens = least_hashes(np.frombuffer(values.as_buffer(), np.uint64))
+                    made = np.array(signatures_of(tokens, kinds_of(frequent.value, tokens), join), np.int64)
+                    yield [made, np.full(len(made), i, np.int64)]
 
         yield from _rows(parts(), ["key", "id"])
 
@@ -208,12 +282,22 @@ def may_link(n: int, a: np.ndarray, m: int, b: np.ndarray, join: Join) -> bool:
     return most * join.den >= join.num * (n + m - most)
 
 
+def bits_allow(n: int, a: np.ndarray, m: int, b: np.ndarray, join: Join) -> bool:
+    """Whether sets of sizes n and m can be linked, as far as their bitmaps (bytes) tell."""
+    if min(n, m) * join.den < join.num * max(n, m):
+        return False
+    if len(a) != len(b):  # one is twice as long
+        a, b = (x if len(x) <= min(len(a), len(b)) else x[: len(x) // 2] | x[len(x) // 2 :] for x in (a, b))
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return most * join.den >= join.num * (n + m - most)
+
+
 def _bounded(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (column(batch, x).to_pylist() for x in ("n_a", "n_b"))
-            a, b = (column(batch, x) for x in ("head_a", "head_b"))
-            good = pa.array([may_link(n[i], a[i].values.to_numpy(), m[i], b[i].values.to_numpy(), join) for i in range(batch.num_rows)], pa.bool_())
+            a, b = ([np.frombuffer(x.as_buffer(), np.uint8) for x in column(batch, y)] for y in ("bits_a", "bits_b"))
+            good = pa.array([bits_allow(*x, join) for x in zip(n, a, m, b)], pa.bool_())
             yield pa.record_batch([column(batch, x).filter(good) for x in ("a", "b")], ["a", "b"])
 
     return released(run)
@@ -224,14 +308,6 @@ def _repeated(tokens: DataFrame, more_than: int) -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
 
 
-def _short(held: DataFrame, frequent: DataFrame, join: Join) -> DataFrame:
-    """Ids of the heads that have fewer tokens outside `frequent` than a prefix needs."""
-    common = held.join(frequent.select("token"), "token").groupBy("id").agg(F.count(F.lit(1)).alias("common"), F.any_value("n_shingles").alias("n"))
-    need = F.col("n") - F.ceil(F.col("n") * join.num / join.den) + 1
-    size = F.least(F.col("n"), need + F.floor(need / 8) + 1)
-    return common.where(size - F.col("common") < need).select("id")
-
-
 def _values(k: int):
     """Rows (a, b, text) with b's set in place of its text."""
 
@@ -313,37 +389,41 @@ def _linked(join: Join):
 
 
 def signatures(docs: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
-    """(key, id) of the representatives (id, n_shingles, head, bits): two linked ones share a key."""
-
-    def whole(ids: DataFrame) -> DataFrame:
-        return _shingle_sets(docs, ids, join.k).mapInArrow(released(_tokens), "id long, own long, token long")
-
-    held = reps.select("id", "n_shingles", F.explode("head").alias("token"))
-    twice = reps.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")  # sets that share an id
+    """(key, id, lo, hi) of the representatives (id, n_shingles, head, bits), each key of an id once: two linked ones share
+    a key. lo and hi are the sizes of the id's smallest and largest set."""
+    heads_of = reps.select("id", "n_shingles", "head")
+    held = reps.select(F.explode("head").alias("token"))
+    sizes = reps.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    twice = written(sizes.where("n > 1").select("id"), "twice")  # sets that share an id are looked at whole
+    one = heads_of if twice.isEmpty() else heads_of.join(twice, "id", "left_anti")
     heads = written(_repeated(held, 1), "repeated")
-    first = written(_short(held, heads.where(F.col("n") > FREQUENT[0]), join).union(twice).distinct(), "poor")
-    sets = whole(first)
-    kind = sum(F.when(F.col("n") > b, 1).otherwise(0) for b in FREQUENT).cast("int").alias("kind")
-    frequent = heads.where(F.col("n") > FREQUENT[0]).unionByName(_repeated(sets, FREQUENT[0]))
-    frequent = written(frequent.groupBy("token").agg(F.max("n").alias("n")).select("token", kind), "frequent")
-    poor = written(_short(held, frequent, join).union(first).distinct(), "poor")
-    tokens = sets.unionByName(whole(poor.join(first, "id", "left_anti"))).join(frequent, "token", "left")
-    tokens = tokens.select("id", "own", "token", F.coalesce("kind", F.lit(0)).alias("kind"))
-    made = written(tokens.repartition("id").sortWithinPartitions("id", "own").mapInArrow(_poor(join), "key long, id long"), "signatures")
+    often = heads.where(F.col("n") > FREQUENT[0])
+    first = written(one.mapInArrow(_short(_frequent(often), join), "id long").unionByName(twice), "poor")
+    sets = _shingle_sets(docs, first, join.k)
+    often = often.unionByName(_repeated(sets.mapInArrow(released(_tokens), "token long"), FREQUENT[0]))
+    frequent = _frequent(written(often.groupBy("token").agg(F.max("n").alias("n")), "frequent"))
+    poor = written(one.mapInArrow(_short(frequent, join), "id long").unionByName(twice), "poor")
+    sets = sets.unionByName(_shingle_sets(docs, poor.join(first, "id", "left_anti"), join.k)).join(poor, "id", "left_semi")
+    made = written(sets.mapInArrow(_poor(frequent, join), "key long, id long").distinct(), "signatures")
     # of the others' tokens those that are somebody else's too
-    shared = heads.select("token").unionByName(made.select(F.col("key").alias("token"))).join(frequent, "token", "left_anti")
-    shared = written(shared.distinct(), "shared")
-    some = Filter(shared.select(F.xxhash64("token").alias("h")), shared.count()).split(held.select("id", "token"), F.xxhash64("token"))[1]
-    plain = some.join(shared, "token", "left_semi").join(poor, "id", "left_anti").select(F.col("token").alias("key"), "id")
-    return written(plain.unionByName(made), "signatures")
+    shared = written(heads.select("token").unionByName(made.select(F.col("key").alias("token"))).distinct(), "shared")
+    bits = docs.sparkSession.sparkContext.broadcast(_places(shared, SHARED_BITS))
+    plain = one.mapInArrow(_plain(frequent, bits, join), "key long, id long, n long").join(shared.toDF("key"), "key", "left_semi")
+    plain = plain.select("key", "id", F.col("n").alias("lo"), F.col("n").alias("hi"))
+    return written(plain.unionByName(made.join(sizes.drop("n"), "id").select("key", "id", "lo", "hi")), "signatures")
+
+
+def _some(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """Sizes and bitmaps (id, n_shingles, bits) of the ids and few others; those of all the rest stay in their scan."""
+    ids = written(ids.distinct(), "ids")
+    return Filter(ids.select(F.xxhash64("id").alias("h")), ids.count()).split(reps.select("id", "n_shingles", "bits"), F.xxhash64("id"))[1]
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
     """Links (u, v) among pairs (a, b)."""
     pairs = written(pairs, "asked")  # Spark knows its size when it plans the joins
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("head").alias(f"head_{x}"))
-    centres = side("a").join(pairs.select("a").distinct(), "a", "left_semi")
-    pairs = written(pairs.join(side("b"), "b").join(centres, "a").mapInArrow(_bounded(join), "a long, b long"), "pairs")
+    side = lambda x: _some(reps, pairs.select(F.col(x).alias("id"))).toDF(x, f"n_{x}", f"bits_{x}")
+    pairs = written(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_bounded(join), "a long, b long"), "pairs")
     rows = docs.select(F.col("doc_id").alias("b"), "text").where("text is not null and doc_id is not null")
     some = Filter(pairs.select(F.xxhash64("b").alias("h")).distinct(), pairs.count()).split(rows, F.xxhash64("b"))[1]
     moved = some.join(pairs, "b").select("a", "b", "text").mapInArrow(_values(join.k), "a long, b long, values_b binary")
@@ -353,10 +433,9 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, join: Join) ->
 
 def linked_components(docs: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
     """(node, component) of representatives (id, n_shingles, head, bits) that are linked with others."""
-    sizes = reps.groupBy("id").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))  # sets that share an id
-    held = written(signatures(docs, reps, join).join(sizes, "id"), "held")
-    stars = held.groupBy("key").agg(F.min(F.struct("id", "lo", "hi")).alias("s"), F.max("id").alias("b")).where("s.id < b")
-    stars = written(stars.select("key", F.col("s.id").alias("a"), F.col("s.lo").alias("lo_a"), F.col("s.hi").alias("hi_a")), "stars")
+    held = signatures(docs, reps, join)
+    stars = held.groupBy("key").agg(F.min(F.struct("id", "lo", "hi")).alias("s"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    stars = written(stars.select("key", F.col("s.id").alias("a"), F.col("s.lo").alias("lo_a"), F.col("s.hi").alias("hi_a"), "members"), "stars")
     buckets = written(held.join(stars, "key"), "buckets")
     alike = (F.col("hi") * join.den >= F.col("lo_a") * join.num) & (F.col("hi_a") * join.den >= F.col("lo") * join.num)
     met = buckets.where((F.col("id") != F.col("a")) & alike).groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -391,16 +470,18 @@ def _pairs_left(reps: DataFrame, buckets: DataFrame, comp: DataFrame, join: Join
     bitmaps: the size of the larger set, and a block where they met."""
     at = lambda n: F.floor(F.log(n) / join.width)
     size = F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")) + 1)).alias("size")
-    own = buckets.where("id <> a").select("id", "key", "lo", "hi").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    own = buckets.where("id <> a and members > 2").select("id", "key", "lo", "hi").join(comp.withColumnRenamed("node", "id"), "id", "left")
     own = own.select("id", F.coalesce("component", "id").alias("component"), (at(F.col("hi")) + 1).alias("above"), "key", size)
     # those of a range's sets and of the range below it that have the signature
     own = written(own.select("id", "component", F.xxhash64("key", "size").alias("key"), (F.col("size") < F.col("above")).alias("inside")), "members")
-    same = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
+    same = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"s{i}") for i in (0, 1)]  # an id is there once
     apart = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("inside").alias("inside"), *same)
     apart = apart.where("lo < hi and inside").groupBy("n", "lo", "hi", "s0", "s1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    members = own.drop("inside").join(written(apart, "apart"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    apart = written(apart, "apart")
+    some = Filter(apart.select(F.xxhash64("key").alias("h")), apart.count()).split(own.drop("inside"), F.xxhash64("key"))[1]
+    members = written(some.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))), "dealt")
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component").join(reps.select("id", "n_shingles", "bits"), "id")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component").join(_some(reps, members.select("id")), "id")
     met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = met.mapInArrow(_blocks(join), "a long, b long, most long, key long, i long, j long")
     return written(found.groupBy("a", "b").agg(F.max("most").alias("most"), F.min(F.struct("key", "i", "j")).alias("at")).select("a", "b", "most", "at.*"), "left")

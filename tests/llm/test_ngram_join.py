@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -106,3 +107,36 @@ def test_sizes_rule_pairs_out_before_sets_are_asked_for(spark, monkeypatch):
     rows = [(i, " ".join(same + [f"w{i}x{n}" for n in range(20 * 2**i)])) for i in range(6)]
     got = j.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(asked) == 0 and all(r.component_id == r.doc_id for r in got)
+
+
+def test_tokens_meet_in_no_join_and_only_pairs_move_bitmaps(spark, monkeypatch):
+    """Kinds are looked up where a set is, so that whole sets never become rows of a join; sets that no pair asks for stay."""
+    plans, written = [], j.written
+    monkeypatch.setattr(j, "written", lambda df, *more: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df, *more))[1])
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} end{n}" for n in range(90)] + [" ".join(f"d{n}w{i}" for i in range(20)) for n in range(900)]
+    docs, join = rows(spark, list(enumerate(texts))), j.Join(5, 4, 5)
+    j.prepare(spark)
+    signed = docs.select("doc_id", "text").mapInArrow(j._heads(join), "id long, n_shingles long, class binary, head array<long>, bits binary")
+    held = j.signatures(docs, signed, join)
+    assert {r.id for r in held.join(held.where("id = 0").select("key"), "key").collect()} == set(range(90))  # poor, and linked
+    assert len(plans) > 5 and not any(re.search(r"Join \[token", p) for p in plans)
+    got = j._some(signed, spark.createDataFrame([(3,), (800,), (3,)], "id long")).collect()
+    assert {3, 800} <= {r.id for r in got} and len(got) < 20
+
+
+def test_bitmaps_of_tokens_and_of_pairs_err_on_one_side(spark):
+    rng, join = np.random.default_rng(4), j.Join(5, 4, 5)
+    tokens = j.least_hashes(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    bits = j._places(spark.createDataFrame([(int(t),) for t in tokens[:500]], "token long"), 64)
+    assert j.placed(bits, tokens[:500]).all() and j.placed(bits, tokens[500:]).mean() < 0.1
+    assert not j.placed(j._places(spark.createDataFrame([], "token long"), 64), tokens).any()
+    drawn = random.Random(8)
+    sets = [shingle_set(t.encode(), 5) for t in [*variants(drawn, 40), *templates(drawn, 30), *variants(drawn, 8, 66)]]
+    packed = [np.packbits(j.bitmap(j.least_hashes(s))) for s in sets]
+    dropped = 0
+    for a, b in combinations(range(len(sets)), 2):
+        may = j.bits_allow(len(sets[a]), packed[a], len(sets[b]), packed[b], join)
+        assert may or not join.linked(sets[a], sets[b])
+        dropped += not may
+    assert dropped > 500
