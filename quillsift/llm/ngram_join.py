@@ -359,7 +359,7 @@ def _blocks(join: Join):
                     continue
                 bits = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)).view(bool) for x in rows.column("bits")]
                 ids, comps, sizes, side = (rows.column(c).to_numpy() for c in ("id", "component", "n_shingles", "own"))
-                found = pairs_left(ids, comps, sizes, bits, join, side if i != j else None)  # pairs within a block meet in (i, i)
+                found = pairs_left(ids, comps, sizes, bits, join, side if j > i + 1 else None)  # pairs within a block meet beside its neighbour
                 order = np.argsort(ids, kind="stable")
                 size = np.maximum.reduceat(sizes[order], np.unique(ids[order], return_index=True)[1])  # sets that share an id
                 most = size[np.searchsorted(np.unique(ids), found)].max(axis=1)
@@ -480,7 +480,7 @@ def _pairs_left(reps: DataFrame, buckets: DataFrame, comp: DataFrame, join: Join
     apart = written(apart, "apart")
     some = Filter(apart.select(F.xxhash64("key").alias("h")), apart.count()).split(own.drop("inside"), F.xxhash64("key"))[1]
     members = written(some.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))), "dealt")
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("own <> other or blocks = 1")
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component").join(_some(reps, members.select("id")), "id")
     met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = met.mapInArrow(_blocks(join), "a long, b long, most long, key long, i long, j long")

@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_minhash import SCHEMA, brute, rows, variants
 
@@ -140,3 +141,14 @@ def test_bitmaps_of_tokens_and_of_pairs_err_on_one_side(spark):
         assert may or not join.linked(sets[a], sets[b])
         dropped += not may
     assert dropped > 500
+
+
+def test_members_of_a_block_meet_beside_the_next_one():
+    """No block of several is dealt to a task of its own: its members are compared where it meets its neighbour."""
+    tokens = j.least_hashes(shingle_set(" ".join(f"w{i}" for i in range(50)).encode(), 5))
+    bits, n = np.packbits(j.bitmap(tokens)).tobytes(), 4
+    for at, expected in (((0, 1), 6), ((0, 2), 4), ((0, 0), 6)):
+        sides = np.repeat(at, 2)
+        names = {"key": np.ones(n, int), "i": np.full(n, at[0]), "j": np.full(n, at[1]), "own": sides, "id": np.arange(n), "component": np.arange(n), "n_shingles": np.full(n, len(tokens))}
+        batch = pa.record_batch([*(pa.array(x, pa.int64()) for x in names.values()), pa.array([bits] * n, pa.binary())], [*names, "bits"])
+        assert sum(b.num_rows for b in j._blocks(j.Join(5, 4, 5))(iter([batch]))) == expected
